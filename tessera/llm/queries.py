@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, quality, tokencount
+from tessera.llm import langid, quality, simhash, tokencount
 from tessera.llm.common import load, split_column
 
 
@@ -23,6 +23,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     rows = quality.apply_policy(quality.ledger(docs), quality.BASE, "base_kept")
@@ -34,7 +39,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op5_token_counts, op8_quality_rules)}
+    return {f.__name__: f for f in (op3_language_id, op5_token_counts, op7_simhash, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
