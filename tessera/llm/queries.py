@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, quality, simhash, tokencount
+from tessera.llm import decontaminate, langid, quality, simhash, tokencount
 from tessera.llm.common import load, split_column
 
 
@@ -16,6 +16,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,8 +43,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op5_token_counts, op7_simhash, op8_quality_rules)}
+    return {f.__name__: f for f in (op3_language_id, op4_decontaminate, op5_token_counts, op7_simhash, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": OP4}
+
+
+OP4 = """
+WITH w AS (
+  SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+  UNION ALL
+  SELECT 1, item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark
+), s AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(words) - 5, 0) + 2), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle FROM w WHERE len(words) > 0
+), n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id),
+m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM s d JOIN s b ON d.shingle = b.shingle WHERE d.kind = 0 AND b.kind = 1 GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, shared AS n_shared, shared / n::DOUBLE AS containment
+FROM m JOIN n ON n.id = item_id WHERE shared >= ceil(n * 0.8 - 1e-9)
+"""
