@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, quality, simhash, tokencount
+from tessera.llm import decontaminate, langid, quality, simhash, tokencount, toxicity
 from tessera.llm.common import load, split_column
 
 
@@ -42,8 +42,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = split_column(F.col("doc_id"), 5) == 0
+    labels = load(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op4_decontaminate, op5_token_counts, op7_simhash, op8_quality_rules)}
+    return {f.__name__: f for f in (op3_language_id, op4_decontaminate, op5_token_counts, op7_simhash, op8_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
