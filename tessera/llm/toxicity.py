@@ -21,7 +21,7 @@ LONGEST = 24  # longer words are compared piece by piece, by overlapping pieces
 
 def letters(word: str) -> str:
     """Lower-cased letters and digits of a word: characters put between them do not count."""
-    return "".join(c for c in word.lower() if c.isalnum())
+    return word.lower() if word.isalnum() else "".join(filter(str.isalnum, word.lower()))
 
 
 def units(text: str) -> dict[str, int]:
@@ -67,7 +67,7 @@ def kernel(words: list[str], marks: list[str], order: int = ORDER, decay: float
     for i, w in enumerate(words):
         by_word.setdefault(len(w), []).append(i)
     for i, m in enumerate(marks):
-        by_mark.setdefault(6 if len(m) <= 6 else max(map(len, marks)), []).append(i)
+        by_mark.setdefault(-(-len(m) // 3) * 3, []).append(i)
     for width, mi in by_mark.items():
         tables = _tables([marks[i] for i in mi], width, decay)
         for length, wi in by_word.items():
@@ -199,7 +199,7 @@ def _stems(word: str):
             yield word[:n]
 
 
-def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 48, rounds: int = 3, weights: dict[int, float] | None = None) -> Model:
+def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 32, rounds: int = 3, weights: dict[int, float] | None = None) -> Model:
     """Fits on (units with counts, label) pairs. Landmarks are the stems that best tell toxic documents from
     clean ones, each chosen for the toxic documents not covered three times yet, and frequent clean words."""
     seen, kept = set(), []
@@ -234,7 +234,8 @@ def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 48, rounds:
                 entry[1] -= 1
                 if not entry[1]:
                     gain.subtract(entry[0])
-        del gain[best]
+        for near in [x for x in gain if x.startswith(best) or best.startswith(x)]:
+            del gain[near]
         gain = +gain
     if not marks:
         return Model([], np.zeros(0), -1.0)
@@ -272,7 +273,7 @@ def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 48, rounds:
     return Model(marks, half @ w, b, _logistic(shown, (labels > 0).astype(float), weight))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, n_marks: int = 48) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, n_marks: int = 32) -> Model:
     """Fits on at most about `sample` labelled rows of each class, chosen by a hash of the id; whole texts are
     reduced to their distinct units on the executors. Rows without a label, id or unit are not learned from."""
     joined = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
@@ -291,16 +292,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, n_marks: int = 4
     return train([(dict(zip(r["units"], r["counts"], strict=True)), r["toxic"]) for r in rows], n_marks, weights={k: counts[k] / max(n, 1) for k, n in taken.items()})
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", remember: int = 300_000) -> DataFrame:
+_REMEMBERED: dict = {}
+
+
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", remember: int = 500_000) -> DataFrame:
     """(doc_id, score) for every row, from its whole text; null and empty texts get the score of no evidence.
 
     Rows are judged alone: repeated rows agree, and other columns are not read. Margins of recent words are
-    remembered, which changes the time only.
+    remembered by each worker, which changes the time only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # n_marks strings and weights
+    key = (tuple(model.marks), model.weights.tobytes(), model.bias)
 
     def run(batches):
-        m, memo = shared.value, {}
+        m = shared.value
+        if key not in _REMEMBERED:
+            _REMEMBERED.clear()
+            _REMEMBERED[key] = {}
+        memo = _REMEMBERED[key]
         for batch in batches:
             ids, every = batch.column("doc_id"), texts(batch.column("text"))
             for at in range(0, len(every), 256):
