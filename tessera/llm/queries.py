@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, quality, simhash, tokencount, toxicity
+from tessera.llm import decontaminate, langid, packing, quality, simhash, tokencount, toxicity
 from tessera.llm.common import load, split_column
 
 
@@ -42,6 +42,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = split_column(F.col("doc_id"), 5) == 0
@@ -52,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op4_decontaminate, op5_token_counts, op7_simhash, op8_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op3_language_id, op4_decontaminate, op5_token_counts, op7_simhash, op8_quality_rules, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
