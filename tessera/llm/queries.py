@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, packing, quality, simhash, tokencount, toxicity
+from tessera.llm import chat, decontaminate, langid, packing, quality, simhash, tokencount, toxicity
 from tessera.llm.common import load, split_column
 
 
@@ -27,6 +27,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    probe = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), said)
+    return chat.digests(rows.union(probe))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,11 +66,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op4_decontaminate, op5_token_counts, op7_simhash, op8_quality_rules, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op3_language_id, op4_decontaminate, op5_token_counts, op6_chat, op7_simhash, op8_quality_rules, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4}
+    return {"op4_decontaminate": OP4, "op6_chat": OP6}
 
 
 OP4 = """
@@ -78,3 +85,23 @@ m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM s d JOIN s
 SELECT doc_id, item_id, n AS n_shingles, shared AS n_shared, shared / n::DOUBLE AS containment
 FROM m JOIN n ON n.id = item_id WHERE shared >= ceil(n * 0.8 - 1e-9)
 """
+
+
+#: The digests follow from the turns alone; formatted_chars counts three marks a turn and the marks of escapes.
+OP6 = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+), l AS (
+  SELECT *, length(role) + length(text) + 8 + 8 + 7
+    + length(role) - length(replace(role, '\\', '')) + length(text) - length(replace(text, '\\', ''))
+    + list_sum(list_transform([CONTROL_LIST], lambda k: ((length(text) - length(replace(text, k, ''))) + (length(role) - length(replace(role, k, '')))) // length(k))) AS chars
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r0, t0)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, r0, t0), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+""".replace("CONTROL_LIST", ", ".join(f"'{k}'" for k in chat.CONTROLS))
