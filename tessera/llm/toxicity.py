@@ -273,15 +273,19 @@ def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 32, rounds:
     return Model(marks, half @ w, b, _logistic(shown, (labels > 0).astype(float), weight))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, n_marks: int = 32) -> Model:
-    """Fits on at most about `sample` labelled rows of each class, chosen by a hash of the id; whole texts are
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 800, n_marks: int = 32) -> Model:
+    """Fits on at most `sample` labelled ids of each class, chosen by a hash of the id; whole texts are
     reduced to their distinct units on the executors. Rows without a label, id or unit are not learned from."""
-    joined = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
-    counts = {r["toxic"]: r["n"] for r in labels.where("toxic is not null").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    judged = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in judged.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model([], np.zeros(0), -1.0)
-    chance = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, sample / n))) for k, n in sorted(counts.items())])
-    some = joined.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance * (1 << 30))
+    first = [judged.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in sorted(counts)]
+    chosen = first[0]
+    for more in first[1:]:
+        chosen = chosen.union(more)
+    # The sample is a few thousand ids at most, so it travels to the texts and not the texts to it.
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def reduce(batch):
         found = [units(t.decode("utf-8", "replace")) for t in texts(batch.column("text"))]
