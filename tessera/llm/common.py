@@ -52,12 +52,16 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def table_of(columns: dict, schema: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+_ARROW = {
+    "int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+    "smallint": pa.int16(), "tinyint": pa.int8(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+}
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
-    return pa.Table.from_arrays([pa.array(columns[f.name], type=f.type) for f in target], schema=target)
+
+def table_of(columns: dict, schema: str) -> pa.Table:
+    """Arrow table with the columns and simple types of `schema`; needs no session, so it works on executors."""
+    fields = [pa.field(name, _ARROW[kind]) for name, kind in (f.strip().split(" ") for f in schema.split(","))]
+    return pa.Table.from_arrays([c.combine_chunks().cast(f.type) if isinstance(c := columns[f.name], pa.ChunkedArray) else pa.array(c, type=f.type) for f in fields], schema=pa.schema(fields))
 
 
 def shard_count(docs: DataFrame, shard_bytes: int, text: str = "text") -> int:

@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, pack, pack_sorted, shard_count, split_bucket, table_of, texts, unpack, unpack_sorted, with_shard
+from tessera.llm.common import pack, pack_sorted, shard_count, split_bucket, table_of, texts, unpack, unpack_sorted, with_shard
 
 ORDER = 5
 END = 10  # no word holds a line feed
 SHARD_BYTES = 16 << 20
 CHUNK = 1 << 20
+LEAST = 4  # a context seen less often is passed over for a shorter one, at no cost
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -121,11 +122,12 @@ def _bucket(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def code_lengths(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+def code_lengths(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int, least: int = LEAST) -> np.ndarray:
     """log10 probabilities of ascending `asked` strings under the trie of the training strings `keys`.
 
     Escapes follow method D: half a count is taken from every symbol of a context and given to the escape. After
-    an escape, symbols seen in the longer context are excluded. Orders 2 and up come from the bucket's own
+    an escape, symbols seen in the longer context are excluded. Contexts seen fewer than `least` times are not
+    tried: a longer context is seen no more often than its shorter ones, so only the longest are passed over. Orders 2 and up come from the bucket's own
     strings, orders 1 and 0 from `pairs`, the counts of all (byte, symbol) pairs.
     """
     levels = {order: (keys, counts.astype(np.float64))}
@@ -149,10 +151,11 @@ def code_lengths(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, pairs:
         at = np.minimum(np.searchsorted(contexts, ctx), max(len(contexts) - 1, 0))
         known = contexts[at] == ctx if len(contexts) else np.zeros(len(ctx), bool)
         n_ctx, q_ctx = (np.where(known, v[at], 0.0) if len(contexts) else np.zeros(len(ctx)) for v in (n, q))
+        used = n_ctx >= (least if k else 1)
         left_n, left_q = (n_ctx, q_ctx) if above_q is None else (n_ctx - above_x, q_ctx - above_q)
         where = np.minimum(np.searchsorted(g, part), max(len(g) - 1, 0))
         seen = g[where] == part if len(g) else np.zeros(len(part), bool)
-        some = left_q > 0.5
+        some = used & (left_q > 0.5)
         hit = open_ & seen & some
         out[hit] += np.log10((c[where[hit]] - 0.5) / left_n[hit])
         escape = open_ & ~seen & some
@@ -162,8 +165,8 @@ def code_lengths(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, pairs:
             lower_g, lower_c = levels[k - 1]
             below = lower_c[np.searchsorted(lower_g, g & np.uint64((1 << 8 * k) - 1))] if len(g) else np.zeros(0)
             x = np.add.reduceat(below, first) if len(first) else np.zeros(0)
-            above_x = np.where(known, x[at], 0.0) if len(contexts) else np.zeros(len(ctx))
-            above_q = q_ctx
+            above_x = np.where(used, x[at], 0.0) if len(contexts) else np.zeros(len(ctx))
+            above_q = np.where(used, q_ctx, 0.0)
     rest = 256 - len(levels[0][0])
     out[open_] += np.log10(1 / max(rest, 1))
     return out

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, langid, packing, quality, simhash, tokencount, toxicity
+from tessera.llm import chat, decontaminate, langid, packing, ppm, quality, simhash, tokencount, toxicity
 from tessera.llm.common import load, split_column
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(load(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = split_column(F.col("doc_id"), 5) == 0
@@ -66,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op4_decontaminate, op5_token_counts, op6_chat, op7_simhash, op8_quality_rules, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op2_lm_score, op3_language_id, op4_decontaminate, op5_token_counts, op6_chat, op7_simhash, op8_quality_rules, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
