@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, langid, packing, ppm, quality, simhash, tokencount, toxicity
+from tessera.llm import chat, decontaminate, langid, packing, ppm, quality, simhash, substrings, tokencount, toxicity
 from tessera.llm.common import load, split_column
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.repeated(load(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(load(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_lm_score, op3_language_id, op4_decontaminate, op5_token_counts, op6_chat, op7_simhash, op8_quality_rules, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_language_id, op4_decontaminate, op5_token_counts, op6_chat, op7_simhash, op8_quality_rules, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
