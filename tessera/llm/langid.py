@@ -154,3 +154,14 @@ def identify(docs: DataFrame, model: Hierarchy, doc_id: str = "doc_id", text: st
 
     kind = dict(docs.dtypes)[doc_id]
     return map_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in a language the model can name; the others are `und`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.predict(t)[0] != UNDETERMINED for t in texts(batch.column(text))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

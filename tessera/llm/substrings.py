@@ -132,14 +132,14 @@ def _pieces(r: dict[str, np.ndarray], chosen: np.ndarray, split: np.ndarray, doc
 FOUND = "shard long, kind int, bucket long, a binary, b binary, c binary, d binary"
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, text, kept, n_bytes, n_removed, n_spans, kept_sha256): a row per input row.
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) a row per input row; with_text adds kept and kept_text, `carry` its columns as the struct `carried`.
 
     Texts are UTF-8 bytes; a null text is empty. Earlier means smaller doc_id, nulls first, then by text (so one
     of two equal rows keeps its text), then by place. Texts shorter than `length` keep everything. `kept` are the
-    bytes left, which may break characters. Other columns are not read; an empty table gives none.
+    bytes left, which may break characters; kept_text leaves the broken ones out. Other columns are not read; an empty table gives none.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else []))
     id_kind = dict(docs.dtypes)["doc_id"]
     n_shards = shard_count(docs, shard_bytes)
     buckets = max(8, n_shards)
@@ -284,14 +284,17 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
             n_spans.append(count)
         back = pa.array(order)
         data = table.take(back)
-        return table_of(
-            {"doc_id": data.column("doc_id"), "text": data.column("text"), "kept": kept, "n_bytes": [len(t) for t in every], "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": [hashlib.sha256(t).hexdigest() for t in kept]},
+        texts_left = {"kept": kept, "kept_text": [t.decode("utf-8", "ignore") for t in kept]} if with_text else {}
+        out = table_of(
+            texts_left | {"doc_id": data.column("doc_id"), "n_bytes": [len(t) for t in every], "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": [hashlib.sha256(t).hexdigest() for t in kept]},
             schema,
         )
+        return out.append_column("carried", data.column("carried")) if carry else out
 
-    schema = f"doc_id {id_kind}, text string, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = f"doc_id {id_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, kept_text string" if with_text else "")
+    whole_schema = f"{schema}, carried {dict(docs.dtypes)['carried']}" if carry else schema
     marked = sharded.groupBy("shard").applyInArrow(mark_runs, FOUND)
     flagged = marked.groupBy("bucket").applyInArrow(compare_runs, FOUND)
     sent = sharded.groupBy("shard").cogroup(flagged.groupBy("shard")).applyInArrow(send_texts, FOUND)
     found = sent.groupBy("bucket").applyInArrow(compare_texts, FOUND)
-    return sharded.groupBy("shard").cogroup(flagged.union(found).groupBy("shard")).applyInArrow(remove, schema)
+    return sharded.groupBy("shard").cogroup(flagged.union(found).groupBy("shard")).applyInArrow(remove, whole_schema)
