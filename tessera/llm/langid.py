@@ -106,7 +106,7 @@ class Hierarchy:
         return lang, sure * inside
 
 
-def fit(docs: DataFrame, sample_per_language: int = 300, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Hierarchy:
+def fit(docs: DataFrame, sample_per_language: int = 150, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Hierarchy:
     """Fits on at most `sample_per_language` rows of each language, chosen by a hash of the id.
 
     Only sparse feature vectors of that bounded sample reach the driver. Rows without a language or a letter

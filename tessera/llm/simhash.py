@@ -99,7 +99,7 @@ def links(nodes: DataFrame, n: int, distance: int = 4, crowd: int = 48) -> DataF
         unions.append(m)
     filed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in unions])).alias("choice", "part"))
     sizes = filed.groupBy("choice", "part").agg(F.count("*").alias("n")).where("n > 1")
-    met = filed.join(sizes, ["choice", "part"])
+    met = filed.join(sizes.hint("merge"), ["choice", "part"])  # two keys: a broadcast map would take the driver two pages of 64 MB
     groups = met.where(F.col("n") <= crowd).groupBy("choice", "part").agg(F.sort_array(F.collect_list("fp")).alias("g"))
     ring = ring_filter("(a ^ b)", masks, distance)
     pairs = groups.select(F.expr(f"explode(flatten(transform(g, (a, i) -> transform(filter(slice(g, i + 2, {crowd}), b -> {ring} and bit_count(a ^ b) <= {distance}), b -> named_struct('a', a, 'b', b)))))").alias("p")).select("p.a", "p.b")
