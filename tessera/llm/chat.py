@@ -106,15 +106,20 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     Turns go by `turn`, ties by role and text; repeated rows are turns of their own. Null roles and texts are
     empty. A null conv_id is a conversation. Other columns are not read; an empty table gives none.
     """
-    kind = dict(conversations.dtypes)["conv_id"]
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = f"conv_id {dict(conversations.dtypes)['conv_id']}, formatted string, loss_spans array<struct<start: long, end: long>>"
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         compiled = Template(template, FILTERS)
         for conv_id, turns in groupby(_messages(batches), key=lambda r: r[0]):
             text, spans = compiled.render(messages=_said(turns))
-            yield pa.RecordBatch.from_pydict({"conv_id": pa.array([conv_id]), "formatted": [text], "loss_spans": pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+            columns = ([conv_id], [text], [[{"start": a, "end": b} for a, b in spans]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return _dealt(conversations).mapInArrow(run, f"conv_id {kind}, formatted string, loss_spans array<struct<start: long, end: long>>")
+    return _dealt(conversations).mapInArrow(run, schema)
 
 
 def digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:

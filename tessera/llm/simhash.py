@@ -99,7 +99,7 @@ def links(nodes: DataFrame, n: int, distance: int = 4, crowd: int = 48) -> DataF
         unions.append(m)
     filed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in unions])).alias("choice", "part"))
     sizes = filed.groupBy("choice", "part").agg(F.count("*").alias("n")).where("n > 1")
-    met = filed.join(sizes.hint("merge"), ["choice", "part"])  # two keys: a broadcast map would take the driver two pages of 64 MB
+    met = filed.join(sizes.hint("merge"), ["choice", "part"])  # hints: nothing here has a size bound, so nothing may be broadcast
     groups = met.where(F.col("n") <= crowd).groupBy("choice", "part").agg(F.sort_array(F.collect_list("fp")).alias("g"))
     ring = ring_filter("(a ^ b)", masks, distance)
     pairs = groups.select(F.expr(f"explode(flatten(transform(g, (a, i) -> transform(filter(slice(g, i + 2, {crowd}), b -> {ring} and bit_count(a ^ b) <= {distance}), b -> named_struct('a', a, 'b', b)))))").alias("p")).select("p.a", "p.b")
@@ -110,7 +110,7 @@ def links(nodes: DataFrame, n: int, distance: int = 4, crowd: int = 48) -> DataF
         return pairs.distinct()
     points = hot.select("fp", F.explode(F.expr(ball[distance])).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a != z").select("point", "a")
-    stars = points.join(least, "point").where("fp != a").select("a", F.col("fp").alias("b"))
+    stars = points.join(least.hint("merge"), "point").where("fp != a").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
 
 
@@ -124,7 +124,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     rows = saved(fingerprints(docs, doc_id, text, width))
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), nodes.count(), distance)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_node, "fp").select("doc_id", "fp", "component_id")
+    by_node = rooted.select("fp", "root").join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(by_node.hint("merge"), "fp").select("doc_id", "fp", "component_id")
