@@ -33,7 +33,7 @@ def trajectory(spark: SparkSession, path: str) -> DataFrame:
     """(frame_id, pose): one row-major 4 by 4 matrix a line, turned column-major. A blank line before a data line, a
     malformed line or an empty file is an error; blank lines at the end are not."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).withColumn("text", F.trim("text"))
-    numbers = F.transform(F.split("text", "\\s+"), lambda v: F.try_cast(v, "double") if hasattr(F, "try_cast") else v.try_cast("double"))
+    numbers = F.transform(F.split("text", "\\s+"), lambda v: v.try_cast("double"))
     parsed = lines.where("text <> ''").withColumn("m", numbers)
     check = parsed.agg(F.count("*").alias("n"), F.max("line").alias("last"), F.sum((((F.size("m") != 16) | F.exists("m", lambda v: v.isNull() | F.isnan(v)))).cast("int")).alias("bad")).first()
     if not check["n"]:
