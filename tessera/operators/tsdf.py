@@ -23,12 +23,14 @@ def voxels(blocks: DataFrame, g: GridParams) -> DataFrame:
 
 
 def images(pixels: DataFrame, cameras: DataFrame, value: str = "depth") -> DataFrame:
-    """(frame_id, cameras' columns, img): row-major images; pixels that are missing are 0."""
-    cells = pixels.join(cameras.select("frame_id", "width", "height"), "frame_id").where("u >= 0 and u < width and v >= 0 and v < height")
-    kept = cells.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("v") * F.col("width") + F.col("u")).cast("int"), F.col(value)))).alias("m"))
+    """Cameras with img, their row-major image; pixels that are missing are 0, and of repeated ones the largest counts."""
+    size = F.col("width") * F.col("height")
+    cells = cameras.select("frame_id", "width", F.explode(F.sequence(F.lit(0), size - 1)).alias("i")).select("frame_id", (F.col("i") % F.col("width")).alias("u"), F.floor(F.col("i") / F.col("width")).cast("int").alias("v"), "i")
+    given = pixels.groupBy("frame_id", "u", "v").agg(F.max(value).alias(value))
     zero = F.lit(0).cast(dict(pixels.dtypes)[value])
-    whole = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), zero))
-    return cameras.join(kept, "frame_id", "left").withColumn("m", F.coalesce("m", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast(f"array<{dict(pixels.dtypes)[value]}>")))).withColumn("img", whole).drop("m")
+    filled = cells.join(given, ["frame_id", "u", "v"], "left").select("frame_id", F.struct("i", F.coalesce(value, zero).alias("x")).alias("cell"))
+    whole = filled.groupBy("frame_id").agg(F.sort_array(F.collect_list("cell")).alias("all"))
+    return cameras.join(whole.select("frame_id", F.transform("all", lambda k: k["x"]).alias("img")), "frame_id")
 
 
 def tap(x: Column, y: Column) -> Column:
