@@ -23,6 +23,15 @@ def totals(rows: DataFrame, exclude: str | None = None) -> DataFrame:
     return merge(rows).agg(F.sum(host).alias("total_cpu_ms"), F.sum(F.when(counted & F.col("has_gpu"), F.col("gpu_ms")).otherwise(0.0)).alias("total_gpu_ms"))
 
 
+def timestamp_delta(earlier, later, bits: int):
+    """Ticks from one counter value to another, modulo the counter's valid bits."""
+    return (later - earlier).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))
+
+
+def ticks_to_ms(ticks, nanoseconds_per_tick: float):
+    return ticks * F.lit(nanoseconds_per_tick) / F.lit(1000000.0)
+
+
 class Stages:
     """Collects host timings on the driver; nested stages are breakdowns of the one around them."""
 

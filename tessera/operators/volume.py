@@ -27,6 +27,20 @@ class Snapshot:
             raise ParameterError(f"made at version {version}, the volume is at {self.version}")
 
 
+def attributes(declared: list[tuple[str, str]]) -> str:
+    """Schema of a voxel table with the declared attributes (name, SQL type); unnamed, untyped and repeated ones are refused."""
+    names = [n for n, _ in declared]
+    if not all(n and kind for n, kind in declared):
+        raise ParameterError("an attribute needs a name and a type")
+    if len(set(names)) < len(names) or set(names) & {*KEY, "local"}:
+        raise ParameterError("attribute names must differ from each other and from the key")
+    return "bx int, by int, bz int, local int" + "".join(f", {n} {kind}" for n, kind in declared)
+
+
+def has_attribute(voxels: DataFrame, name: str) -> bool:
+    return name in voxels.columns and name not in (*KEY, "local")
+
+
 def held(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns as generated ones: later filters and projections use the values and never copy the expressions."""
     made = F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("_made")

@@ -12,6 +12,7 @@ from tessera.operators import mesh, metrics, texture, tsdf, volume
 from tessera.params import Camera, pinhole_planes, projection_planes, registered_depth
 from tessera.plans import oracles
 from tessera.plans.inputs import GRID, camera, cameras, color_pixels, load, pixels, points
+from tessera.sources import ply
 
 G = GRID
 c = F.col
@@ -311,6 +312,20 @@ def mc_shared_vertices(spark, d):
     return verts.select("vx", "vy", "vz", "axis", "own_t", "own_k", *[r6(c(n)).alias(n) for n in ("px", "py", "pz", "nx", "ny", "nz")])
 
 
+@query
+def ply_columns(spark, d):
+    """The colour bytes a mesh file gets."""
+    return ply.ply_columns(mesh.extract_dense(oracles_dense(spark), 0.0625)).select(*mesh.CELL, "t", "k", "red", "green", "blue")
+
+
+@query
+def timestamp_delta(spark, d):
+    """Differences of a counter that wraps at 16 bits, in ticks and milliseconds."""
+    e = load(spark, d, "events")
+    ticks = metrics.timestamp_delta(c("event_id") * 104729, c("event_id") * 7919, 16)
+    return e.select("event_id", ticks.alias("ticks"), metrics.ticks_to_ms(ticks, 41.5).alias("ms"))
+
+
 def _textured(spark, d):
     return texture.texture(mesh.vertices(_cells(spark, d), G.voxel_size), pixels(spark, d), cameras(spark), 2, 0.0625)
 

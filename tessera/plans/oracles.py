@@ -185,6 +185,13 @@ _UV = ", ".join(f"CASE WHEN p{p} IS NULL THEN -1.0::DOUBLE WHEN visible THEN {uv
 CTES["textured"] = f"SELECT cx, cy, cz, t, k, visible, {_UV} FROM seen"
 
 
+_LOW = [cube.CORNERS[p[0]] for p in _ENDS]
+_OWNER = ", ".join(f"(c{a} + [{', '.join(str(o[i]) for o in _LOW)}][edge + 1])::INT AS o{a}" for i, a in enumerate("xyz"))
+CTES["normed"] = _normed("cells")
+CTES["owned"] = f"""SELECT s.*, n.nx AS mx, n.ny AS my, n.nz AS mz, n.nx IS NULL OR {" OR ".join(f"floor(s.o{a} / 8::DOUBLE) <> floor(s.c{a} / 8::DOUBLE)" for a in "xyz")} AS alone
+  FROM (SELECT *, {_OWNER}, [{", ".join(str(cube.axis_of(e)) for e in range(12))}][edge + 1] AS axis FROM soup) s LEFT JOIN normed n ON n.cx = s.ox AND n.cy = s.oy AND n.cz = s.oz"""
+
+
 def _with(sql: str) -> str:
     """The query behind the expressions it needs, in order of need."""
     import re
@@ -285,6 +292,9 @@ def build() -> dict[str, str]:
         "mc_culled": _soup_columns("soup") + " WHERE EXISTS (SELECT 1 FROM dblocks d WHERE d.bx = floor(cx / 8::DOUBLE) AND d.by = floor(cy / 8::DOUBLE) AND d.bz = floor(cz / 8::DOUBLE) AND d.bx >= 0)",
         "mc_incremental": _soup_columns("dynsoup"),
         "mc_block_spans": "SELECT bx, by, bz, triangle_base, triangle_count, triangle_base * 3 AS vertex_base, triangle_count * 3 AS vertex_count FROM (SELECT *, (sum(triangle_count) OVER (ORDER BY bx, by, bz) - triangle_count)::BIGINT AS triangle_base FROM (SELECT floor(cx / 8::DOUBLE)::INT AS bx, floor(cy / 8::DOUBLE)::INT AS by, floor(cz / 8::DOUBLE)::INT AS bz, count(*) AS triangle_count FROM cells JOIN tri ON tri.cube_index = cells.cube_index GROUP BY ALL))",
+        "mc_shared_vertices": "SELECT DISTINCT " + ", ".join([*(f"CASE WHEN alone THEN c{a} ELSE o{a} END AS v{a}" for a in "xyz"), "axis", "CASE WHEN alone THEN t ELSE -1 END AS own_t", "CASE WHEN alone THEN k ELSE -1 END AS own_k", *(f"{r6(f'p{a}')} AS p{a}" for a in "xyz"), *(f"{r6(f'CASE WHEN alone THEN n{a} ELSE m{a} END')} AS n{a}" for a in "xyz")]) + " FROM owned",
+        "ply_columns": f"SELECT cx, cy, cz, t, k, {_byte('r')}::INT AS red, {_byte('g')}::INT AS green, {_byte('b')}::INT AS blue FROM densesoup",
+        "timestamp_delta": "SELECT event_id, (event_id * 7919 - event_id * 104729) & 65535 AS ticks, ((event_id * 7919 - event_id * 104729) & 65535) * 41.5::DOUBLE / 1000000::DOUBLE AS ms FROM events",
         "texture_project": f"SELECT cx, cy, cz, t, k, {r6('uv_u')} AS uv_u, {r6('uv_v')} AS uv_v FROM textured",
         "texture_visibility": "SELECT visible, uv_u = -1 AS behind, count(*) AS n FROM textured GROUP BY ALL",
         "stage_rows": "SELECT * FROM merged",

@@ -140,6 +140,14 @@ def test_volume_versions(spark):
         volume.block_list(w, v.blocks, 1)
 
 
+def test_attributes(spark):
+    made = spark.createDataFrame([], volume.attributes([("tsdf", "double"), ("color", "long")]))
+    assert volume.has_attribute(made, "color") and not volume.has_attribute(made, "bx")
+    for bad in ([("", "int")], [("a", "")], [("a", "int"), ("a", "int")], [("local", "int")]):
+        with pytest.raises(ParameterError):
+            volume.attributes(bad)
+
+
 def test_stages(spark):
     s = metrics.Stages()
     with s.stage("fuse"), s.stage("decode"):
