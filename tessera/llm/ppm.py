@@ -18,7 +18,7 @@ from tessera.llm.common import pack, pack_sorted, shard_count, split_bucket, tab
 ORDER = 5
 END = 10  # no word holds a line feed
 SHARD_BYTES = 16 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LEAST = 4  # a context seen less often is passed over for a shorter one, at no cost
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))

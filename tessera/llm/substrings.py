@@ -22,7 +22,7 @@ from tessera.llm.suffixes import repeated_windows
 
 LENGTH = 100
 GRAM = 24
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Runs of different text under one minimizer beyond which they are split by the place of the minimizer.
 CROWD = 2000
 BLOCK = 8
@@ -142,7 +142,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
     docs = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else []))
     id_kind = dict(docs.dtypes)["doc_id"]
     n_shards = shard_count(docs, shard_bytes)
-    buckets = max(8, n_shards)
+    buckets = max(16, n_shards)
     sharded = with_shard(docs, n_shards)
 
     def opened(table):

@@ -128,7 +128,7 @@ def search(a: Shard, sorted_a: np.ndarray, b: Shard, windows_b: np.ndarray) -> n
     return found
 
 
-def repeated_windows(strings: list[bytes], origin: np.ndarray, depth: int, shard_bytes: int = 4 << 20) -> list[np.ndarray]:
+def repeated_windows(strings: list[bytes], origin: np.ndarray, depth: int, shard_bytes: int = 1 << 20) -> list[np.ndarray]:
     """By string, the places whose `depth` bytes also stand at a place of smaller origin.
 
     A place's origin is its string's origin plus its place. Strings are dealt to shards of about shard_bytes;
