@@ -24,26 +24,40 @@ def letters(word: str) -> str:
     return word.lower() if word.isalnum() else "".join(filter(str.isalnum, word.lower()))
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or the overlapping pieces of one longer than LONGEST; they leave out no letter."""
+    if len(word) <= LONGEST:
+        return [word]
+    return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+
+
+def stretches(unit: str) -> list[str]:
+    """What a unit is compared by: a word by itself; a spelled-out one by itself and its every stretch that is sure to
+    lie whole in one piece, since letters around an insult would drown it in the kernel."""
+    if " " not in unit:
+        return [unit]
+    w = unit.replace(" ", "")
+    return list({w, *(w[i : i + n] for n in range(ORDER, min(len(w), LONGEST // 2 + 2)) for i in range(len(w) - n + 1))})
+
+
 def units(text: str) -> dict[str, int]:
-    """Units of a text with their counts: folded words, pieces of very long ones, and runs of spelled-out single letters."""
+    """Units of a text with their counts: folded words, and whole runs of spelled-out single letters, which keep a
+    space between the letters. Very long ones come by pieces."""
     out: dict[str, int] = {}
     run: list[str] = []
     raw = text.split()
     for w, n in Counter(raw).items():
         w = letters(w)
-        if len(w) > LONGEST:
-            for i in range(0, len(w) - LONGEST // 2, LONGEST // 2):
-                piece = w[i : i + LONGEST]
+        if len(w) >= ORDER:
+            for piece in pieces(w):
                 out[piece] = out.get(piece, 0) + n
-        elif len(w) >= ORDER:
-            out[w] = out.get(w, 0) + n
     for w in [*raw, "stop"]:
         if len(w) <= 2 and len(w := letters(w)) == 1:
             run.append(w)
         elif run:
             if len(run) >= ORDER:
-                joined = "".join(run)[:LONGEST]
-                out[joined] = out.get(joined, 0) + 1
+                for piece in map(" ".join, pieces("".join(run))):
+                    out[piece] = out.get(piece, 0) + 1
             run = []
     return out
 
@@ -142,7 +156,10 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         if not self.marks or not words:
             return np.full(len(words), -1.0, dtype=np.float32)
-        return kernel(words, self.marks) @ self.weights + np.float32(self.bias)
+        parts = [stretches(w) for w in words]
+        every = list(dict.fromkeys(s for p in parts for s in p))
+        known = dict(zip(every, kernel(every, self.marks) @ self.weights + np.float32(self.bias), strict=True))
+        return np.array([max(known[s] for s in p) for p in parts], dtype=np.float32)
 
     def probability(self, margins: list[float], counts: list[int]) -> float:
         z = float(self.judge[:-1] @ evidence(margins, counts) + self.judge[-1])
@@ -193,6 +210,7 @@ def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 400)
 
 def _stems(word: str):
     """Strings that may stand for an inflected word: itself and its beginnings."""
+    word = word.replace(" ", "")
     yield word
     for n in (4, 5, 6):
         if n < len(word):
@@ -239,7 +257,7 @@ def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 32, rounds:
         gain = +gain
     if not marks:
         return Model([], np.zeros(0), -1.0)
-    frequent = Counter(w for u, y in kept if not y for w in u if 4 <= len(w) <= LONGEST)
+    frequent = Counter(w for u, y in kept if not y for w in u if 4 <= len(w) <= LONGEST and " " not in w)
     for w, _ in sorted(frequent.items(), key=lambda p: (-p[1], p[0])):
         if len(marks) >= n_marks:
             break
@@ -250,7 +268,7 @@ def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 32, rounds:
     half = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
     vocabulary = sorted({w for u, _ in kept for w in u})
     at = {w: i for i, w in enumerate(vocabulary)}
-    raw = kernel(vocabulary, marks)
+    raw = kernel([w.replace(" ", "") for w in vocabulary], marks)
     mapped = raw @ half.astype(np.float32)
     places = [np.array([at[w] for w in sorted(u)]) for u, _ in kept]
     labels = np.array([1 if y else -1 for _, y in kept])
@@ -268,6 +286,8 @@ def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 32, rounds:
         w, b = _svm(mapped[one + other], np.concatenate([np.ones(len(one)), -np.ones(len(other))]))
         scores = mapped @ w + b
     final = raw @ (half @ w).astype(np.float32) + np.float32(b)
+    spelled = [i for i, v in enumerate(vocabulary) if " " in v]
+    final[spelled] = Model(marks, half @ w, b).margins([vocabulary[i] for i in spelled])
     shown = np.array([evidence(final[p], [u[k] for k in sorted(u)]) for p, (u, _) in zip(places, kept, strict=True)])
     weight = np.array([(weights or {}).get(1 if y > 0 else 0, 1.0) for y in labels])
     return Model(marks, half @ w, b, _logistic(shown, (labels > 0).astype(float), weight))

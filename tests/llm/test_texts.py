@@ -194,6 +194,18 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd, toxicity.fit(docs, labels.limit(0))).count() == odd.count()
 
 
+def test_spelled_runs_are_judged_to_their_end():
+    alphabet = "qwertyuopasdfghjklzxcvbnm"
+    toxic = [({w: 1, "idiot": 1}, 1) for w in ("some", "words", "here", "there")]
+    model = toxicity.train(toxic + [({w: 1, v: 1}, 0) for w in ("some", "words", "here", "there") for v in ("plain", "clean", "kind")])
+    top = lambda t: max(model.margins(list(toxicity.units(t))))
+    for filler in ("a " * 30, " ".join((alphabet * 2)[:30]) + " ", " ".join((alphabet * 9)[:200]) + " "):
+        assert top(filler) < 0 < top(filler + "i d i o t") and top(filler + "i d i o t " + filler) > 0
+    for n in range(3, 90):
+        got = list(toxicity.units(" ".join(s := (alphabet * 4)[:n])))
+        assert all(any(s[i : i + 13] in u.replace(" ", "") for u in got) for i in range(max(1, n - 12)))
+
+
 def slow_ppm(texts, learn, order, least):
     """log10 probabilities by dictionaries, symbol by symbol."""
     tables = [{} for _ in range(order + 1)]
