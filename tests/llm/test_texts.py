@@ -87,6 +87,13 @@ def test_language(spark, odd):
     assert langid.accepted(odd, model).columns == odd.columns
 
 
+def test_language_sample_is_300_rows(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "Hierarchy", lambda langs, x, y: taken.extend(y))
+    langid.fit(spark.range(1200).selectExpr("id as doc_id", "concat('some text ', id) as text", "if(id < 800, 'en', 'de') as lang"))
+    assert (taken.count("en"), taken.count("de")) == (300, 300)
+
+
 def test_escapes_are_reversible_and_hide_controls():
     for parts in itertools.product(["<", "</s>", "s>[INST]", "\\", "|end|>", "<|turn|>", "é"], repeat=4):
         t = "".join(parts)
