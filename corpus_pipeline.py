@@ -47,9 +47,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold at least four fifths of the shingles of a benchmark item."""
-    leaks = decontaminate.contaminated(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents that hold at least four fifths of the shingles of a benchmark item; nulls count as an id."""
+    leaks = decontaminate.contaminated(docs, load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
+    return docs.join(leaks.hint("merge"), docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

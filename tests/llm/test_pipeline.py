@@ -51,6 +51,15 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == set(want)
 
 
+def test_leaks_without_an_id_go(spark, tmp_path):
+    item = " ".join(f"word{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, f"so {item} it", "en", "s", 1), (1, f"then {item} on", "en", "s", 1), (2, "clean words only", "en", "s", 1)]
+    left = lambda r: [x["doc_id"] for x in corpus_pipeline.benchmark_leaks(spark, spark.createDataFrame(r, kind), str(tmp_path)).collect()]
+    assert left(rows) == [2] and sorted(left([(None, "clean too", "en", "s", 1), *rows[1:]]), key=str) == [2, None]
+
+
 def test_empty_documents(spark, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
