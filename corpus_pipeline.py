@@ -24,7 +24,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a nameable language: null texts and texts without a letter."""
+    """Drops documents without a nameable language: null texts and texts without a letter.
+
+    The model rejects nothing else: a text with a letter is given the likeliest learned language, however low its
+    score, so lettered junk and languages outside the labels stay. Only a table that teaches no language loses all rows.
+    """
     model = langid.fit(docs.where(split_column(F.col("doc_id"), 5) != 0))
     return langid.accepted(docs, model).select(*COLUMNS)
 
