@@ -2,8 +2,9 @@
 
 Windows of `length` bytes are routed by content: each goes with its minimizer, the gram of `GRAM` bytes with the
 smallest hash in it, so equal windows meet whatever documents they stand in. Consecutive windows of one minimizer
-travel as one run of text. Equal runs are known by their hashes alone and need no text; where one minimizer has
-runs of different text, one copy of each goes to a suffix-array shard, where their windows are compared.
+travel as one run of text. Equal runs are known by their 64-bit hashes alone and need no text, so a collision would
+remove text that is no copy; where one minimizer has runs of different text, one copy of each goes to a suffix-array
+shard, where their windows are compared.
 """
 
 from __future__ import annotations
