@@ -273,7 +273,7 @@ def mc_sparse(spark, d):
 
 @query
 def mc_dense(spark, d):
-    """A dense grid of signed distances to a plane and a sphere, weights and colours from the part table's keys."""
+    """A fixed dense grid of 20^3 signed distances to a sphere, of weight 1 and colours by place; no table is read."""
     return _soup(mesh.extract_dense(oracles_dense(spark), 0.0625, 0.0, (0.5, -0.25, 0.125)))
 
 
