@@ -217,9 +217,19 @@ def _stems(word: str):
             yield word[:n]
 
 
+def _sure(toxic: int, clean: int, share: float, tried: int) -> bool:
+    """Whether a stem seen in so many documents stands in toxic ones by more than the chance of one in 100 among all
+    stems tried (Chernoff's bound)."""
+    n = toxic + clean
+    p = toxic / n
+    apart = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if clean else 0.0)
+    return p > share and n * apart > math.log(100 * tried)
+
+
 def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 32, rounds: int = 3, weights: dict[int, float] | None = None) -> Model:
     """Fits on (units with counts, label) pairs. Landmarks are the stems that best tell toxic documents from
-    clean ones, each chosen for the toxic documents not covered three times yet, and frequent clean words."""
+    clean ones, each chosen for the toxic documents not covered three times yet, and frequent clean words. Stems
+    beyond two thirds of `n_marks` are added as long as they cannot be toxic by chance (`_sure`), without a bound."""
     seen, kept = set(), []
     for u, y in samples:
         key = (frozenset(u), y)
@@ -242,7 +252,12 @@ def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 32, rounds:
     short = [[s & odds.keys(), 3] for s, y in stems_of if y]
     gain = Counter(x for s, _ in short for x in s)
     marks: list[str] = []
-    while gain and len(marks) < n_marks * 2 // 3:
+    few = n_marks * 2 // 3
+    while gain:
+        if len(marks) == few:
+            gain = Counter({x: n for x, n in gain.items() if _sure(base[True][x], base[False][x], nt / (nt + nc), len(base[True]))})
+            if not gain:
+                break
         best = max(gain, key=lambda x: (gain[x] * odds[x], len(x), x))
         if gain[best] < 2:
             break
@@ -257,9 +272,10 @@ def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 32, rounds:
         gain = +gain
     if not marks:
         return Model([], np.zeros(0), -1.0)
+    full = max(n_marks, len(marks) + n_marks - few)
     frequent = Counter(w for u, y in kept if not y for w in u if 4 <= len(w) <= LONGEST and " " not in w)
     for w, _ in sorted(frequent.items(), key=lambda p: (-p[1], p[0])):
-        if len(marks) >= n_marks:
+        if len(marks) >= full:
             break
         if w not in marks:
             marks.append(w)

@@ -213,6 +213,15 @@ def test_spelled_runs_are_judged_to_their_end():
         assert all(any(s[i : i + 13] in u.replace(" ", "") for u in got) for i in range(max(1, n - 12)))
 
 
+def test_every_frequent_insult_becomes_a_landmark():
+    rnd = np.random.default_rng(5)
+    word = lambda: "".join(rnd.choice(list("etaoinshrdlubcmk"), 8))
+    insults, plain = [word() for _ in range(40)], [word() for _ in range(300)]
+    some = lambda: {str(w): 1 for w in rnd.choice(plain, 6)}
+    model = toxicity.train([(some() | {w: 1}, 1) for w in insults for _ in range(40)] + [(some(), 0) for _ in range(1600)])
+    assert set(insults) <= set(model.marks) and (model.margins(insults) > 0).all() and (model.margins(plain) < 0).mean() > 0.95
+
+
 def slow_ppm(texts, learn, order, least):
     """log10 probabilities by dictionaries, symbol by symbol."""
     tables = [{} for _ in range(order + 1)]
