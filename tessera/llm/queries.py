@@ -10,7 +10,7 @@ from tessera.llm.common import load, split_column
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = substrings.repeated(load(spark, sf_dir, "documents"), with_text=False)
+    rows = substrings.repeated(load(spark, sf_dir, "documents"), texts_out=())
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -2,9 +2,11 @@
 
 Windows of `length` bytes are routed by content: each goes with its minimizer, the gram of `GRAM` bytes with the
 smallest hash in it, so equal windows meet whatever documents they stand in. Consecutive windows of one minimizer
-travel as one run of text. Equal runs are known by their 64-bit hashes alone and need no text, so a collision would
-remove text that is no copy; where one minimizer has runs of different text, one copy of each goes to a suffix-array
-shard, where their windows are compared.
+travel as one run. Hashes only choose what is compared: a minimizer seen once in the corpus cannot stand in two
+equal windows, and its run goes no further. What is left is compared by its bytes: inside a shard of documents by its
+suffix array (Larsson-Sadakane, Kasai), so that a shard sends each distinct window once, and between shards by
+suffix arrays over the distinct texts of a bucket of minimizers, met by binary search. All messages are rows of
+bounded size, so their number grows with the text and not with shards times buckets.
 """
 
 from __future__ import annotations
@@ -13,21 +15,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pack, pack_sorted, shard_count, table_of, texts, unpack, unpack_sorted, with_shard
-from tessera.llm.ppm import _B, _B_INV, _LETTER, _power, chunks
+from tessera.llm.common import table_of, texts
+from tessera.llm.components import saved
+from tessera.llm.ppm import _B, _B_INV, _LETTER, CHUNK, _power
 from tessera.llm.suffixes import repeated_windows
 
 LENGTH = 100
 GRAM = 24
 SHARD_BYTES = 4 << 20
-#: Runs of different text under one minimizer beyond which they are split by the place of the minimizer.
+#: Runs of one minimizer, or pieces of one core, beyond which they are split by content before they meet.
 CROWD = 2000
 BLOCK = 8
-_NULL = np.iinfo(np.int64).min
+#: Rows of one id beyond which they are spread over shards in the order of their texts (null ids always are).
+ID_ROWS = 1000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -39,23 +44,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Text:
-    """A run of documents laid end to end, with prefix hashes."""
-
-    def __init__(self, docs: list[bytes]):
-        self.raw = b"".join(docs)
-        self.x = np.frombuffer(self.raw, dtype=np.uint8)
-        self.lengths = np.array([len(d) for d in docs], dtype=np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        n = len(self.x)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_LETTER[self.x] * _power(_B, n), dtype=np.uint64, out=self.sums[1:])
-        self.back = _power(_B_INV, n)
-
-    def hashed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of the bytes from a to b."""
-        h = (self.sums[b] - self.sums[a]) * self.back[a]
-        return _mix(h + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def gram_hashes(x: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all grams of the bytes x."""
+    sums = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(_LETTER[x] * _power(_B, len(x)), dtype=np.uint64, out=sums[1:])
+    n = len(x) - gram + 1
+    return _mix((sums[gram:] - sums[:n]) * _power(_B_INV, n))
 
 
 def _leftmost_minimum(h: np.ndarray, width: int) -> np.ndarray:
@@ -70,232 +64,247 @@ def _leftmost_minimum(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def _blocks(docs: list[bytes], length: int):
+    """(documents, offsets, texts) of pieces of documents, in order, about CHUNK bytes at a time; a piece overlaps the next of its document by length - 1 bytes."""
+    owner, offset, parts, size = [], [], [], 0
+    for i, d in enumerate(docs):
+        for a in range(0, len(d) - length + 1, CHUNK):
+            part = d[a : a + CHUNK + length - 1]
+            if size and size + len(part) > CHUNK + length:
+                yield owner, offset, parts
+                owner, offset, parts, size = [], [], [], 0
+            owner.append(i)
+            offset.append(a)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield owner, offset, parts
+
+
 def runs(docs: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
-    """The runs of all documents in order: mark (hash of the minimizer), body (hash of the text), doc, start, size, lead (bytes before the minimizer)."""
-    parts = []
-    for first, last in chunks(docs):
-        t = Text(docs[first:last])
-        if len(t.x) < length:
-            continue
-        n = len(t.x) - gram + 1
-        h = _mix((t.sums[gram:] - t.sums[:n]) * t.back[:n])
+    """The runs of all documents in order: mark (hash of the minimizer), doc, start, size, lead (bytes before the minimizer). Works on CHUNK bytes at a time, however long a document is."""
+    names, kept = ("mark", "doc", "start", "size", "lead"), []
+    for owner, offset, parts in _blocks(docs, length):
+        x = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        lengths = np.array([len(p) for p in parts], dtype=np.int64)
+        firsts = np.cumsum(lengths) - lengths
+        h = gram_hashes(x, gram)
         place = _leftmost_minimum(h, length - gram + 1)
-        doc = np.repeat(np.arange(last - first), t.lengths)
-        whole = doc[: len(place)] == doc[length - 1 : length - 1 + len(place)]
+        part = np.repeat(np.arange(len(parts)), lengths)
+        whole = part[: len(place)] == part[length - 1 : length - 1 + len(place)]
         new = np.ones(len(place), dtype=bool)
         new[1:] = (place[1:] != place[:-1]) | ~whole[:-1]
         new &= whole
         starts = np.flatnonzero(new)
         stops = np.flatnonzero(whole & np.concatenate([new[1:] | ~whole[1:], [True]]))
-        mark, body = h[place[starts]], t.hashed(starts, stops + length)
-        owner = doc[starts]
-        parts.append((mark, body, owner + first, starts - t.starts[owner], stops - starts + length, place[starts] - starts))
-    names = ("mark", "body", "doc", "start", "size", "lead")
-    if not parts:
-        return {k: np.zeros(0, np.uint64 if k in ("mark", "body") else np.int64) for k in names}
-    return {k: np.concatenate(v) for k, v in zip(names, zip(*parts, strict=True), strict=True)}
-
-
-def _bucket(mark: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mark >> np.uint64(13)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _first_of(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(runs that are the first of their text in the shard, by mark and body; for every run its place among them)."""
-    order = np.lexsort((r["body"], r["mark"]))
-    m, b = r["mark"][order], r["body"][order]
-    new = np.concatenate([[True], (m[1:] != m[:-1]) | (b[1:] != b[:-1])]) if len(m) else np.zeros(0, bool)
-    group = np.empty(len(m), dtype=np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order[new], group
-
-
-def _pieces(r: dict[str, np.ndarray], chosen: np.ndarray, split: np.ndarray, docs: list[bytes], length: int):
-    """(route, doc, start, text) of runs sent to suffix-array shards.
-
-    Crowded runs are split by how far before the minimizer their windows start, BLOCK distances to a piece; windows
-    of a piece share all but BLOCK - 1 bytes, which give its route, so equal windows still meet.
-    """
-    for i, crowded in zip(chosen.tolist(), split.tolist(), strict=True):
-        doc, start, size, lead, mark = int(r["doc"][i]), int(r["start"][i]), int(r["size"][i]), int(r["lead"][i]), int(r["mark"][i])
-        if not crowded:
-            yield mark, doc, start, docs[doc][start : start + size]
-            continue
-        near, far = lead - (size - length), lead
-        for block in range(near // BLOCK, far // BLOCK + 1):
-            a, b = min(far, block * BLOCK + BLOCK - 1), max(near, block * BLOCK)
-            at = start + lead
-            core = docs[doc][at - block * BLOCK : at - block * BLOCK - BLOCK + 1 + length]
-            route = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=mark.to_bytes(8, "little") + bytes([block & 255])).digest(), "little")
-            yield route, doc, at - a, docs[doc][at - a : at - b + length]
-
-
-FOUND = "shard long, kind int, bucket long, a binary, b binary, c binary, d binary"
-
-
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) a row per input row; with_text adds kept and kept_text, `carry` its columns as the struct `carried`.
-
-    Texts are UTF-8 bytes; a null text is empty. Earlier means smaller doc_id, nulls first, then by text (so one
-    of two equal rows keeps its text), then by place. Texts shorter than `length` keep everything. `kept` are the
-    bytes left, which may break characters; kept_text leaves the broken ones out. Other columns are not read; an empty table gives none.
+        own = part[starts]
+        kept.append((h[place[starts]], np.array(owner)[own], starts - firsts[own] + np.array(offset)[own], stops - starts + length, place[starts] - starts))
+    if not kept:
+        return {k: np.zeros(0, np.uint64 if k == "mark" else np.int64) for k in names}
+    return {k: np.concatenate(v) for k, v in zip(names, zip(*kept, strict=True), strict=True)}
+
+
+def _stretches(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the stretches of ascending `at` without a gap in which the other arrays do not change."""
+    if not len(at):
+        return at, at
+    cut = np.diff(at) != 1
+    for s in same:
+        cut |= np.diff(s) != 0
+    first = np.flatnonzero(np.concatenate([[True], cut]))
+    return first, np.concatenate([first[1:] - 1, [len(at) - 1]])
+
+
+def _in_order(docs: DataFrame) -> DataFrame:
+    """Adds `seq`: 0, but for rows of null ids and of ids with over ID_ROWS rows their place by text; (doc_id, seq) spreads these over shards and keeps their order."""
+    many = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where(F.col("doc_id").isNull() | (F.col("rows") > ID_ROWS)).select(F.col("doc_id").alias("many"))
+    if many.isEmpty():
+        return docs.withColumn("seq", F.lit(0).cast("long"))
+    on = docs["doc_id"].eqNullSafe(many["many"])
+    few = docs.join(many.hint("merge"), on, "left_anti").withColumn("seq", F.lit(0).cast("long"))
+    placed = saved(docs.join(many.hint("merge"), on, "left_semi").orderBy("doc_id", "text").withColumn("seq", F.monotonically_increasing_id()))
+    return few.union(placed)
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = (), texts_out: tuple[str, ...] = ("kept", "kept_text")) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) a row per input row, with the texts named in texts_out and the columns `carry` as the struct `carried`.
+
+    Texts are UTF-8 bytes; a null text is empty. Earlier means smaller doc_id (of any type that sorts), nulls first,
+    then by text (so one of two equal rows keeps its text), then by place. Texts shorter than `length` keep
+    everything and are never shuffled. `kept` are the bytes left, which may break characters; kept_text leaves the
+    broken ones out. Other columns are not read; an empty table gives none.
     """
     docs = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else []))
     id_kind = dict(docs.dtypes)["doc_id"]
-    n_shards = shard_count(docs, shard_bytes)
-    buckets = max(16, n_shards)
-    sharded = with_shard(docs, n_shards)
+    measure = F.coalesce(F.octet_length("text"), F.lit(0))
+    total = docs.where(measure >= length).agg(F.sum(measure)).first()[0] or 0
+    n_shards = max(1, -(-total // shard_bytes))
+    n_buckets = 4 * n_shards
+    long_ = _in_order(docs.where(measure >= length))
+    sharded = long_.withColumn("shard", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(n_shards)))
+    row_kind = f"kind int, bucket long, route long, shard long, doc long, start long, stop long, doc_id {id_kind}, seq long, text binary"
 
     def opened(table):
-        """(rows in order of age, ids with nulls lowest, texts)"""
-        ids = table.column("doc_id").to_pylist()
-        every = texts(table.column("text"))
-        order = sorted(range(len(ids)), key=lambda i: (_NULL if ids[i] is None else ids[i], every[i]))
-        return order, np.array([_NULL if ids[i] is None else ids[i] for i in order], dtype=np.int64), [every[i] for i in order]
-
-    def rows(parts):
-        columns = {n: [] for n in ("shard", "kind", "bucket", "a", "b", "c", "d")}
-        for p in parts:
-            for name, value in zip(columns, p, strict=True):
-                columns[name].append(value)
-        return table_of(columns, FOUND)
-
-    def by_bucket(key: np.ndarray):
-        by = np.argsort(key, kind="stable")
-        cuts = np.searchsorted(key[by], np.arange(buckets + 1))
-        return ((b, by[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist())
-
-    def mark_runs(key, table):
-        """Per bucket: marks, bodies and ids of the shard's distinct runs."""
-        _, ids, every = opened(table)
-        r = runs(every, length, gram)
-        first, _ = _first_of(r)
-        return rows((key[0].as_py(), 0, b, pack_sorted(r["mark"][f := first[part]]), pack(r["body"][f]), pack(ids[r["doc"][f]]), b"") for b, part in by_bucket(_bucket(r["mark"][first], buckets)))
-
-    def compare_runs(key, table):
-        """Per shard: which of its runs are not the first of their text (1), and which must be compared as text (2; 6 if crowded)."""
-        marks = [unpack_sorted(x) for x in table.column("a").to_pylist()]
-        sizes = np.array([len(m) for m in marks])
-        mark, body, ids = np.concatenate(marks), np.concatenate([unpack(x, np.uint64) for x in table.column("b").to_pylist()]), np.concatenate([unpack(x, np.int64) for x in table.column("c").to_pylist()])
-        order = np.lexsort((ids, body, mark))
-        m, b = mark[order], body[order]
-        new_mark = np.concatenate([[True], m[1:] != m[:-1]])
-        new_body = new_mark | np.concatenate([[True], b[1:] != b[:-1]])
-        group = np.cumsum(new_mark) - 1
-        texts_of = np.bincount(group, weights=new_body).astype(np.int64)[group]
-        flag = np.where(new_body, np.where(texts_of > CROWD, 6, np.where(texts_of > 1, 2, 0)), 1)
-        flags = np.empty(len(order), dtype=np.uint8)
-        flags[order] = flag
-        shards, out, at = table.column("shard").to_pylist(), [], 0
-        for shard, size in zip(shards, sizes.tolist(), strict=True):
-            own = flags[at : at + size]
-            at += size
-            if own.any():
-                out.append((shard, 1, key[0].as_py(), pack(own), b"", b"", b""))
-        return rows(out)
-
-    def known(every, replies):
-        """The shard's runs, each with the flag of its text and whether it is the first of it here."""
+        """The shard's rows by age, and their texts."""
+        order = pc.sort_indices(table.select(["doc_id", "seq", "text"]), sort_keys=[(c, "ascending") for c in ("doc_id", "seq", "text")], null_placement="at_start")
+        data = table.take(order)
+        return data, texts(data.column("text"))
+
+    def mark_counts(key, table):
+        marks, n = np.unique(runs(opened(table)[1], length, gram)["mark"], return_counts=True)
+        return table_of({"mark": marks.view(np.int64), "shard": np.full(len(marks), key[0].as_py()), "n": n}, "mark long, shard long, n long")
+
+    def rows(data, kind, bucket, route, shard, doc, start, stop, text):
+        longs = {"bucket": bucket, "route": route, "shard": np.full(len(doc), shard), "doc": doc, "start": start, "stop": stop}
+        columns = {"kind": pa.array(kind, pa.int32())} | {n: pa.array(v, pa.int64()) for n, v in longs.items()}
+        back = pa.array(doc, pa.int64())
+        columns |= {"doc_id": data.column("doc_id").take(back), "seq": data.column("seq").take(back), "text": pa.array(text, pa.binary())}
+        return pa.table(columns)
+
+    def settle_shard(key, table, told):
+        """Kind 0: spans of windows that stand earlier in the shard. Kinds 1 and 2 (crowded): the other windows whose minimizer stands in other shards too."""
+        data, every = opened(table)
+        shard = key[0].as_py()
+        marks, totals = (np.asarray(told.column(c).combine_chunks()) if told.num_rows else np.zeros(0, np.int64) for c in ("mark", "total"))
+        by = np.argsort(marks.view(np.uint64))
+        marks, totals = marks.view(np.uint64)[by], totals[by]
         r = runs(every, length, gram)
-        first, group = _first_of(r)
-        flags = np.zeros(len(first), dtype=np.uint8)
-        told = dict(zip(replies.column("bucket").to_pylist(), zip(replies.column("kind").to_pylist(), replies.column("a").to_pylist(), strict=True), strict=True)) if replies.num_rows else {}
-        for b, part in by_bucket(_bucket(r["mark"][first], buckets)):
-            if b in told and told[b][0] == 1:
-                flags[part] = unpack(told[b][1], np.uint8)
-        return r, first, group, flags
-
-    def send_texts(key, table, replies):
-        """Per bucket of suffix-array shards: ids, places and texts of the runs to compare."""
-        _, ids, every = opened(table)
-        r, first, _, flags = known(every, replies)
-        wanted = np.flatnonzero(flags & 2)
-        pieces = list(_pieces(r, first[wanted], (flags[wanted] & 4) > 0, every, length))
-        route = np.array([p[0] for p in pieces], dtype=np.uint64)
-        out = []
-        for b, part in by_bucket(_bucket(_mix(route), buckets)):
-            some = [pieces[i] for i in part.tolist()]
-            at = np.array([(p[1], p[2], len(p[3])) for p in some], dtype=np.int64)
-            out.append((key[0].as_py(), 2, b, pack(ids[at[:, 0]]), pack(at), b"".join(p[3] for p in some), b""))
-        for i, o in enumerate(out):
-            out[i] = (*o[:5], pack(np.frombuffer(o[5], dtype=np.uint8)), b"")
-        return rows(out)
-
-    def compare_texts(key, table):
-        """Per shard: runs of removed windows as (doc, start, end), found in the suffix arrays of this bucket."""
-        ids = [unpack(x, np.int64) for x in table.column("a").to_pylist()]
-        at = [unpack(x, np.int64).reshape(-1, 3) for x in table.column("b").to_pylist()]
-        raw = [unpack(x, np.uint8).tobytes() for x in table.column("c").to_pylist()]
-        strings = []
-        for a, text in zip(at, raw, strict=True):
-            ends = np.cumsum(a[:, 2]).tolist()
-            strings += [text[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-        every_id, every_at = np.concatenate(ids), np.concatenate(at)
-        # Pieces by age; between two pieces of one document places decide, so ages leave room for every place.
-        age_of = np.zeros(len(strings), dtype=np.int64)
-        order = np.lexsort((every_at[:, 1], every_at[:, 0], every_id))
-        i, d = every_id[order], every_at[order, 0]
-        document = np.cumsum(np.concatenate([[False], (i[1:] != i[:-1]) | (d[1:] != d[:-1])]))
-        age_of[order] = (document.astype(np.int64) << 36) + every_at[order, 1]
-        out, k = [], 0
-        found = repeated_windows(strings, age_of, length)
-        for shard, a in zip(table.column("shard").to_pylist(), at, strict=True):
-            spans = []
-            for doc, start, _ in a.tolist():
-                w = found[k]
-                k += 1
-                if len(w):
-                    cut = np.flatnonzero(np.diff(w) > 1)
-                    lo, hi = w[np.concatenate([[0], cut + 1])], w[np.concatenate([cut, [len(w) - 1]])]
-                    spans += [(doc, start + p, start + q + length) for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]
-            if spans:
-                out.append((shard, 3, key[0].as_py() + buckets, pack(np.array(spans, dtype=np.int64)), b"", b"", b""))
-        return rows(out)
-
-    def remove(key, table, replies):
-        order, _, every = opened(table)
-        kinds = replies.column("kind")
-        mine = replies.filter(pa.compute.equal(kinds, 1)) if replies.num_rows else replies
-        r, first, group, flags = known(every, mine)
-        lead = np.zeros(len(group), dtype=bool)
-        lead[first] = True
-        gone = ~lead | (flags[group] & 1 > 0) if len(group) else lead
-        spans = [np.stack([r["doc"][gone], r["start"][gone], r["start"][gone] + r["size"][gone]], axis=1)]
-        spans += [unpack(x, np.int64).reshape(-1, 3) for k, x in zip(kinds.to_pylist(), replies.column("a").to_pylist(), strict=True) if k == 3]
-        all_spans = np.concatenate(spans)
-        all_spans = all_spans[np.lexsort((all_spans[:, 1], all_spans[:, 0]))]
-        bounds = np.searchsorted(all_spans[:, 0], np.arange(len(every) + 1))
-        kept, n_removed, n_spans = [], [], []
+        at = np.minimum(np.searchsorted(marks, r["mark"]), max(len(marks) - 1, 0))
+        chosen = np.flatnonzero(marks[at] == r["mark"]) if len(marks) else np.zeros(0, np.int64)
+        mark, doc, start, size, lead = (r[c][chosen] for c in ("mark", "doc", "start", "size", "lead"))
+        _, group, count = np.unique(mark, return_inverse=True, return_counts=True)
+        own, everywhere = count[group], totals[at[chosen]]
+        n = size - length + 1
+        base = np.cumsum(n) - n
+        run = np.repeat(np.arange(len(chosen)), n)
+        place = np.arange(len(run)) - base[run] + start[run]
+        gone = np.zeros(len(run), dtype=bool)
+        twice = np.flatnonzero(own > 1)
+        # Runs that follow each other in a document are one string of the suffix array, up to about CHUNK bytes.
+        follows = (doc[twice][1:] == doc[twice][:-1]) & (start[twice][1:] == (start + n)[twice][:-1]) & (start[twice][1:] // CHUNK == start[twice][:-1] // CHUNK)
+        f, z = (twice[np.flatnonzero(c)] if len(twice) else twice for c in (np.concatenate([[True], ~follows]), np.concatenate([~follows, [True]])))
+        strings = [every[d][a:b] for d, a, b in zip(doc[f].tolist(), start[f].tolist(), (start[z] + size[z]).tolist(), strict=True)]
+        for b, w in zip(base[f].tolist(), repeated_windows(strings, (doc[f] << 36) + start[f], length), strict=True):
+            gone[b + w] = True
+        here = np.flatnonzero(gone)
+        first, last = _stretches(place[here], doc[run[here]])
+        a, b = here[first], here[last]
+        spans = (doc[run[a]], place[a], place[b] + length)
+        on = np.flatnonzero(~gone & (everywhere > own)[run])
+        crowded = everywhere > CROWD
+        block = np.where(crowded[run[on]], ((start + lead)[run[on]] - place[on]) // BLOCK, -1)
+        first, last = _stretches(on, run[on], block)
+        a, b, block = on[first], on[last], block[first]
+        who, begin, end = doc[run[a]], place[a], place[b] + length
+        text = [every[d][p:q] for d, p, q in zip(who.tolist(), begin.tolist(), end.tolist(), strict=True)]
+        route = mark[run[a]]
+        bucket = (_mix(route) % np.uint64(n_buckets)).astype(np.int64)
+        for i in np.flatnonzero(block >= 0).tolist():
+            k = int(block[i])
+            gram_at = int(start[run[a[i]]] + lead[run[a[i]]])
+            # Bytes that all windows of the block share; equal windows so get the same route.
+            core = every[who[i]][gram_at - k * BLOCK : gram_at - k * BLOCK - BLOCK + 1 + length]
+            route[i] = xxhash.xxh64_intdigest(core, seed=(int(route[i]) + k) & 0xFFFFFFFFFFFFFFFF)
+            bucket[i] = xxhash.xxh64_intdigest(text[i]) % n_buckets
+        own_spans = np.arange(len(spans[0]))
+        return rows(
+            data,
+            np.concatenate([own_spans * 0, np.where(block >= 0, 2, 1)]),
+            np.concatenate([own_spans % n_buckets, bucket]),
+            np.concatenate([own_spans * 0, route.view(np.int64)]),
+            shard,
+            *(np.concatenate(p) for p in zip(spans, (who, begin, end), strict=True)),
+            [None] * len(own_spans) + text,
+        )
+
+    def settle_bucket(table):
+        """Removed spans: kind 0 as they are, texts that stand earlier in another shard, and what the suffix arrays find between the distinct texts."""
+        shard, doc, start, stop, kind = (np.asarray(table.column(c).combine_chunks()) for c in ("shard", "doc", "start", "stop", "kind"))
+        lead = np.asarray(table.column("lead").combine_chunks().cast(pa.int8())) > 0
+        compared = np.flatnonzero((kind > 0) & lead)
+        out = [np.stack([c[(kind == 0) | ~lead] for c in (shard, doc, start, stop)])]
+        some = table.select(["doc_id", "seq", "doc", "start"]).take(pa.array(compared))
+        strings = texts(table.column("text").take(pa.array(compared)))
+        order = np.asarray(pc.sort_indices(some, sort_keys=[(c, "ascending") for c in some.column_names], null_placement="at_start"))
+        ids = pa.Table.from_arrays([some.column(c).take(pa.array(order)) for c in ("doc_id", "seq", "doc")], names=["a", "b", "c"])
+        change = np.zeros(len(order), dtype=bool)
+        for c in ids.columns:
+            flat = c.combine_chunks().dictionary_encode(null_encoding="encode").indices
+            change[1:] |= np.diff(np.asarray(flat)) != 0
+        age = np.zeros(len(order), dtype=np.int64)
+        # Ages of documents leave room for every place, which decides inside a document.
+        age[order] = np.cumsum(change).astype(np.int64) << 36
+        begin = start[compared]
+        for i, w in zip(range(len(strings)), repeated_windows(strings, age + begin, length), strict=True):
+            if len(w):
+                a, b = _stretches(w)
+                part = np.empty((4, len(a)), dtype=np.int64)
+                part[0], part[1], part[2], part[3] = shard[compared[i]], doc[compared[i]], begin[i] + w[a], begin[i] + w[b] + length
+                out.append(part)
+        found = np.concatenate(out, axis=1)
+        return table_of(dict(zip(("shard", "doc", "start", "stop"), found, strict=True)), "shard long, doc long, start long, stop long")
+
+    def led(pieces):
+        """Marks one row of each text of a route, the oldest; a shard sends a text once at most, so no text has more rows than there are shards."""
+        age = F.struct("doc_id", "seq", "doc", "start")
+        oldest = F.min(age).over(Window.partitionBy("bucket", "route", "text"))
+        return pieces.withColumn("lead", (F.col("kind") == 0) | age.eqNullSafe(oldest))
+
+    def settle(pieces):
+        return led(pieces).groupBy("bucket").applyInArrow(settle_bucket, "shard long, doc long, start long, stop long")
+
+    def remove(table, found):
+        data, every = opened(table)
+        spans = np.stack([np.asarray(found.column(c).combine_chunks()) if found.num_rows else np.zeros(0, np.int64) for c in ("doc", "start", "stop")], axis=1)
+        spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+        bounds = np.searchsorted(spans[:, 0], np.arange(len(every) + 1))
+        columns = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *texts_out)}
         for i, text in enumerate(every):
-            parts, past, removed, count = [], 0, 0, 0
-            end = -1
-            for _, a, b in all_spans[bounds[i] : bounds[i + 1]].tolist():
+            parts, past, count, end = [], 0, 0, -1
+            for _, a, b in spans[bounds[i] : bounds[i + 1]].tolist():
                 if a > end:
                     count += 1
                     parts.append(text[past:a])
-                    removed += b - a
-                elif b > end:
-                    removed += b - end
-                else:
+                elif b <= end:
                     continue
                 end = past = b
             parts.append(text[past:])
-            kept.append(b"".join(parts))
-            n_removed.append(removed)
-            n_spans.append(count)
-        back = pa.array(order)
-        data = table.take(back)
-        texts_left = {"kept": kept, "kept_text": [t.decode("utf-8", "ignore") for t in kept]} if with_text else {}
-        out = table_of(
-            texts_left | {"doc_id": data.column("doc_id"), "n_bytes": [len(t) for t in every], "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": [hashlib.sha256(t).hexdigest() for t in kept]},
-            schema,
-        )
+            kept = b"".join(parts)
+            columns["n_bytes"].append(len(text))
+            columns["n_removed"].append(len(text) - len(kept))
+            columns["n_spans"].append(count)
+            columns["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            if "kept" in texts_out:
+                columns["kept"].append(kept)
+            if "kept_text" in texts_out:
+                columns["kept_text"].append(kept.decode("utf-8", "ignore"))
+        out = table_of(columns, digests).add_column(0, "doc_id", data.column("doc_id"))
         return out.append_column("carried", data.column("carried")) if carry else out
 
-    schema = f"doc_id {id_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, kept_text string" if with_text else "")
-    whole_schema = f"{schema}, carried {dict(docs.dtypes)['carried']}" if carry else schema
-    marked = sharded.groupBy("shard").applyInArrow(mark_runs, FOUND)
-    flagged = marked.groupBy("bucket").applyInArrow(compare_runs, FOUND)
-    sent = sharded.groupBy("shard").cogroup(flagged.groupBy("shard")).applyInArrow(send_texts, FOUND)
-    found = sent.groupBy("bucket").applyInArrow(compare_texts, FOUND)
-    return sharded.groupBy("shard").cogroup(flagged.union(found).groupBy("shard")).applyInArrow(remove, whole_schema)
+    kinds = {"kept": "binary", "kept_text": "string"}
+    digests = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {t} {kinds[t]}" for t in texts_out)
+    schema = f"doc_id {id_kind}, {digests}" + (f", carried {dict(docs.dtypes)['carried']}" if carry else "")
+    counted = sharded.select("doc_id", "seq", "text", "shard").groupBy("shard").applyInArrow(mark_counts, "mark long, shard long, n long")
+    told = counted.withColumn("total", F.sum("n").over(Window.partitionBy("mark"))).where("total > 1").select("shard", "mark", "total")
+    sent = sharded.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(settle_shard, row_kind).repartition("bucket")
+    # Conditions that hold rand() stay behind the exchange, so all branches read the same one.
+    kind = F.when(F.rand() >= 0, F.col("kind"))
+    crowded = led(sent.where(kind == 2))
+    distinct = crowded.where("lead")
+    cores = distinct.groupBy("route").agg(F.count("*").alias("pieces")).where(F.col("pieces") > CROWD)
+    split = distinct.join(cores.hint("merge"), "route", "left")
+    shift = F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("stop") - F.col("start") - length)))
+    split = split.withColumn("shift", shift).withColumn("start", F.col("start") + F.col("shift"))
+    split = split.withColumn("text", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(F.substring("text", F.col("shift").cast("int") + 1, F.lit(length))))
+    split = split.withColumn("stop", F.col("start") + F.octet_length("text")).withColumn("route", F.when(F.col("pieces").isNull(), F.col("route")).otherwise(F.xxhash64("text")))
+    split = split.withColumn("bucket", F.pmod(F.xxhash64("route"), F.lit(n_buckets)))
+    spans = ["shard", "doc", "start", "stop"]
+    found = settle(sent.where(kind < 2)).union(crowded.where("not lead").select(*spans)).union(settle(split))
+    cleaned = sharded.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(remove, schema)
+    text = F.coalesce("text", F.lit(""))
+    kept = {"kept": text.cast("binary").alias("kept"), "kept_text": text.alias("kept_text")}
+    short = docs.where(measure < length).select(
+        "doc_id", measure.cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"),
+        *[kept[t] for t in texts_out], *(["carried"] if carry else []),
+    )
+    return cleaned.union(short)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 
 SYMBOLS_A_KEY = 7  # nine bits a symbol: bytes are 1 to 256, 0 ends a string
+PLACES = 256  # places of a string that one cursor of the common prefixes goes through
 
 
 class Shard:
@@ -19,11 +20,12 @@ class Shard:
         raw = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
         self.text = raw.astype(np.uint16) + 1
         self.text[self.starts + lengths] = 0
-        self.bytes = np.concatenate([raw, np.zeros(16, np.uint8)])
+        eights = np.concatenate([raw, np.zeros(depth + 16, np.uint8)])
+        self.eights = np.ndarray((len(eights) - 7,), dtype=">u8", buffer=eights, strides=(1,)).astype(np.uint64)
         self.array, self.rank = refine(self.text)
 
-    def common(self) -> np.ndarray:
-        return kasai(self.text, self.array, self.rank, self.starts, self.lengths)
+    def common(self, most: int | None = None) -> np.ndarray:
+        return kasai(self.text, self.array, self.rank, self.starts, self.lengths, most)
 
     def whole(self, at: np.ndarray) -> np.ndarray:
         """Whether `depth` symbols of one string start at these places."""
@@ -67,20 +69,25 @@ def refine(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return array, rank
 
 
-def kasai(text: np.ndarray, array: np.ndarray, rank: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Symbols that each slot of the suffix array shares with the slot before.
+def kasai(text: np.ndarray, array: np.ndarray, rank: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Symbols that each slot of the suffix array shares with the slot before, counted up to `most`.
 
     Going through a string from the left, the shared length falls by one symbol at most from place to place.
-    All strings advance together, each by one comparison or one place a round.
+    Cursors set PLACES apart advance together, each by one comparison or one place a round, so the rounds do not
+    grow with the longest string.
     """
     out = np.zeros(len(array), dtype=np.int32)
-    live = np.flatnonzero(lengths > 0)
-    at, end, h = starts[live].copy(), (starts + lengths)[live], np.zeros(len(live), dtype=np.int64)
+    per = -(-lengths // PLACES)
+    owner = np.repeat(np.arange(len(starts)), per)
+    at = starts[owner] + PLACES * (np.arange(len(owner)) - (np.cumsum(per) - per)[owner])
+    end = np.minimum(at + PLACES, (starts + lengths)[owner])
+    h = np.zeros(len(at), dtype=np.int64)
+    most = len(text) if most is None else most
     while len(at):
         slot = rank[at]
         before = array[np.maximum(slot - 1, 0)]
         x = text[at + h]
-        same = (x == text[before + h]) & (x > 0) & (slot > 0)
+        same = (x == text[before + h]) & (x > 0) & (slot > 0) & (h < most)
         done = ~same
         out[slot[done]] = h[done]
         at = at + done
@@ -93,7 +100,7 @@ def kasai(text: np.ndarray, array: np.ndarray, rank: np.ndarray, starts: np.ndar
 
 def _words(shard: Shard, at: np.ndarray, k: int) -> np.ndarray:
     """Eight bytes from 8k behind each place as big-endian numbers, cut at the depth."""
-    raw = shard.bytes[(at + 8 * k)[:, None] + np.arange(8)].view(">u8").reshape(-1).astype(np.uint64)
+    raw = shard.eights[at + 8 * k]
     over = 8 * (k + 1) - shard.depth
     return raw >> np.uint64(8 * over) if over > 0 else raw
 
@@ -147,7 +154,7 @@ def repeated_windows(strings: list[bytes], origin: np.ndarray, depth: int, shard
         if a == b:
             continue
         shard = Shard(strings[a:b], depth)
-        shared = shard.common()
+        shared = shard.common(depth)
         whole = np.flatnonzero(shard.whole(shard.array))
         # Slots between two whole windows hold shorter suffixes only if those windows differ.
         place = shard.array[whole]
@@ -158,6 +165,7 @@ def repeated_windows(strings: list[bytes], origin: np.ndarray, depth: int, shard
         np.minimum.at(least, group, age)
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
         shards.append((shard, a, place, group, owner, age, least, place[first]))
+    # In this order the first shard that holds a window always knows its smallest origin so far and hands it on.
     for j in range(len(shards)):
         for i in range(j):
             (sa, *_, least_a, rep_a), (sb, *_, least_b, rep_b) = shards[i], shards[j]
@@ -167,15 +175,6 @@ def repeated_windows(strings: list[bytes], origin: np.ndarray, depth: int, shard
             least_a[met[hit]] = both
             least_b[hit] = both
     out = [np.zeros(0, dtype=np.int64)] * len(strings)
-    # A second pass carries the smallest origin met by any shard back to all of them.
-    for j in range(len(shards)):
-        for i in range(j):
-            (sa, *_, least_a, rep_a), (sb, *_, least_b, rep_b) = shards[i], shards[j]
-            met = search(sa, rep_a, sb, rep_b)
-            hit = np.flatnonzero(met >= 0)
-            both = np.minimum(least_a[met[hit]], least_b[hit])
-            least_a[met[hit]] = both
-            least_b[hit] = both
     for shard, a, place, group, owner, age, least, _ in shards:
         later = age > least[group] if len(group) else np.zeros(0, bool)
         own, at = owner[later], (place - shard.starts[owner])[later]
