@@ -3,10 +3,10 @@
 Windows of `length` bytes are routed by content: each goes with its minimizer, the gram of `GRAM` bytes with the
 smallest hash in it, so equal windows meet whatever documents they stand in. Consecutive windows of one minimizer
 travel as one run. Hashes only choose what is compared: a minimizer seen once in the corpus cannot stand in two
-equal windows, and its run goes no further. What is left is compared by its bytes: inside a shard of documents by its
-suffix array (Larsson-Sadakane, Kasai), so that a shard sends each distinct window once, and between shards by
-suffix arrays over the distinct texts of a bucket of minimizers, met by binary search. All messages are rows of
-bounded size, so their number grows with the text and not with shards times buckets.
+equal windows, and its run goes no further. What is left is compared by its bytes: of equal runs a shard of documents sends
+one and the exchange keeps one, and the distinct texts of a bucket of minimizers are met by suffix arrays
+(Larsson-Sadakane, Kasai), built a shard at a time and merged by binary search. All messages are rows of bounded
+size, so their number grows with the text and not with shards times buckets.
 """
 
 from __future__ import annotations
@@ -104,15 +104,25 @@ def runs(docs: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) for k, v in zip(names, zip(*kept, strict=True), strict=True)}
 
 
-def _stretches(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of the stretches of ascending `at` without a gap in which the other arrays do not change."""
-    if not len(at):
-        return at, at
+def _stretches(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the stretches of ascending `at` without a gap."""
     cut = np.diff(at) != 1
-    for s in same:
-        cut |= np.diff(s) != 0
-    first = np.flatnonzero(np.concatenate([[True], cut]))
-    return first, np.concatenate([first[1:] - 1, [len(at) - 1]])
+    return np.flatnonzero(np.concatenate([[True], cut])), np.flatnonzero(np.concatenate([cut, [True]]))
+
+
+def meeting(strings: list[bytes], length: int) -> np.ndarray:
+    """The strings that hold a window whose hash stands at two places; no other string can share a window."""
+    if not strings:
+        return np.zeros(0, dtype=np.int64)
+    x = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    lengths = np.array([len(s) for s in strings], dtype=np.int64)
+    owner = np.repeat(np.arange(len(strings)), lengths)
+    whole = np.flatnonzero(owner[: len(x) - length + 1] == owner[length - 1 :])
+    h = gram_hashes(x, length)[whole]
+    by = np.argsort(h)
+    same = h[by][1:] == h[by][:-1]
+    twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    return np.unique(owner[whole[by[twice]]])
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
@@ -139,7 +149,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
     measure = F.coalesce(F.octet_length("text"), F.lit(0))
     total = docs.where(measure >= length).agg(F.sum(measure)).first()[0] or 0
     n_shards = max(1, -(-total // shard_bytes))
-    n_buckets = 4 * n_shards
+    n_buckets = 2 * n_shards
     long_ = _in_order(docs.where(measure >= length))
     sharded = long_.withColumn("shard", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(n_shards)))
     row_kind = f"kind int, bucket long, route long, shard long, doc long, start long, stop long, doc_id {id_kind}, seq long, text binary"
@@ -162,7 +172,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
         return pa.table(columns)
 
     def settle_shard(key, table, told):
-        """Kind 0: spans of windows that stand earlier in the shard. Kinds 1 and 2 (crowded): the other windows whose minimizer stands in other shards too."""
+        """Kind 0: spans of runs that stand earlier in the shard. Kind 1: the others whose minimizer has further runs; kind 2: their pieces where it is crowded."""
         data, every = opened(table)
         shard = key[0].as_py()
         marks, totals = (np.asarray(told.column(c).combine_chunks()) if told.num_rows else np.zeros(0, np.int64) for c in ("mark", "total"))
@@ -173,55 +183,54 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
         chosen = np.flatnonzero(marks[at] == r["mark"]) if len(marks) else np.zeros(0, np.int64)
         mark, doc, start, size, lead = (r[c][chosen] for c in ("mark", "doc", "start", "size", "lead"))
         _, group, count = np.unique(mark, return_inverse=True, return_counts=True)
-        own, everywhere = count[group], totals[at[chosen]]
         n = size - length + 1
-        base = np.cumsum(n) - n
-        run = np.repeat(np.arange(len(chosen)), n)
-        place = np.arange(len(run)) - base[run] + start[run]
-        gone = np.zeros(len(run), dtype=bool)
-        twice = np.flatnonzero(own > 1)
-        # Runs that follow each other in a document are one string of the suffix array, up to about CHUNK bytes.
-        follows = (doc[twice][1:] == doc[twice][:-1]) & (start[twice][1:] == (start + n)[twice][:-1]) & (start[twice][1:] // CHUNK == start[twice][:-1] // CHUNK)
-        f, z = (twice[np.flatnonzero(c)] if len(twice) else twice for c in (np.concatenate([[True], ~follows]), np.concatenate([~follows, [True]])))
-        strings = [every[d][a:b] for d, a, b in zip(doc[f].tolist(), start[f].tolist(), (start[z] + size[z]).tolist(), strict=True)]
-        for b, w in zip(base[f].tolist(), repeated_windows(strings, (doc[f] << 36) + start[f], length), strict=True):
-            gone[b + w] = True
-        here = np.flatnonzero(gone)
-        first, last = _stretches(place[here], doc[run[here]])
-        a, b = here[first], here[last]
-        spans = (doc[run[a]], place[a], place[b] + length)
-        on = np.flatnonzero(~gone & (everywhere > own)[run])
-        crowded = everywhere > CROWD
-        block = np.where(crowded[run[on]], ((start + lead)[run[on]] - place[on]) // BLOCK, -1)
-        first, last = _stretches(on, run[on], block)
-        a, b, block = on[first], on[last], block[first]
-        who, begin, end = doc[run[a]], place[a], place[b] + length
-        text = [every[d][p:q] for d, p, q in zip(who.tolist(), begin.tolist(), end.tolist(), strict=True)]
-        route = mark[run[a]]
-        bucket = (_mix(route) % np.uint64(n_buckets)).astype(np.int64)
-        for i in np.flatnonzero(block >= 0).tolist():
-            k = int(block[i])
-            gram_at = int(start[run[a[i]]] + lead[run[a[i]]])
-            # Bytes that all windows of the block share; equal windows so get the same route.
-            core = every[who[i]][gram_at - k * BLOCK : gram_at - k * BLOCK - BLOCK + 1 + length]
-            route[i] = xxhash.xxh64_intdigest(core, seed=(int(route[i]) + k) & 0xFFFFFFFFFFFFFFFF)
-            bucket[i] = xxhash.xxh64_intdigest(text[i]) % n_buckets
+        # Of runs with the same bytes the oldest goes on, the others are gone whole; the table compares bytes, not only hashes.
+        oldest: dict[bytes, int] = {}
+        text = [every[d][a:b] for d, a, b in zip(doc.tolist(), start.tolist(), (start + size).tolist(), strict=True)]
+        lone = np.fromiter((oldest.setdefault(t, i) == i for i, t in enumerate(text)), dtype=bool, count=len(text))
+        gone = np.flatnonzero(~lone)
+        follows = (doc[gone][1:] == doc[gone][:-1]) & (start[gone][1:] == (start + n)[gone][:-1])
+        a, b = (gone[np.flatnonzero(c)] if len(gone) else gone for c in (np.concatenate([[True], ~follows]), np.concatenate([~follows, [True]])))
+        spans = (doc[a], start[a], start[b] + size[b])
+        # A minimizer that has one text and stands nowhere else is settled.
+        texts_here = np.bincount(group, weights=lone, minlength=len(count))[group]
+        on = np.flatnonzero(lone & ((totals[at[chosen]] > count[group]) | (texts_here > 1)))
+        crowded = totals[at[chosen]][on] > CROWD
+        plain = on[~crowded]
+        out = [(plain * 0 + 1, (_mix(mark[plain]) % np.uint64(n_buckets)).astype(np.int64), mark[plain].view(np.int64), doc[plain], start[plain], (start + size)[plain])]
+        pieces, piece_text = [], []
+        for i in on[crowded].tolist():
+            # Windows are split by how far before the minimizer they start; those of a block share all but BLOCK - 1 bytes, which give the route.
+            gram_at, last = int(lead[i]), int(lead[i] - n[i]) + 1
+            for k in range(last // BLOCK, gram_at // BLOCK + 1):
+                p, q = gram_at - min(gram_at, k * BLOCK + BLOCK - 1), gram_at - max(last, k * BLOCK) + length
+                core = text[i][gram_at - k * BLOCK : gram_at - k * BLOCK - BLOCK + 1 + length]
+                route = xxhash.xxh64_intdigest(core, seed=(int(mark[i]) + k) & 0xFFFFFFFFFFFFFFFF)
+                piece = text[i][p:q]
+                pieces.append((2, xxhash.xxh64_intdigest(piece) % n_buckets, route - (1 << 64) * (route >> 63), doc[i], start[i] + p, start[i] + q))
+                piece_text.append(piece)
+        out.append(np.array(pieces, dtype=np.int64).reshape(-1, 6).T)
+        kind, bucket, route, who, begin, end = (np.concatenate(c) for c in zip(*out, strict=True))
         own_spans = np.arange(len(spans[0]))
         return rows(
             data,
-            np.concatenate([own_spans * 0, np.where(block >= 0, 2, 1)]),
+            np.concatenate([own_spans * 0, kind]),
             np.concatenate([own_spans % n_buckets, bucket]),
-            np.concatenate([own_spans * 0, route.view(np.int64)]),
+            np.concatenate([own_spans * 0, route]),
             shard,
             *(np.concatenate(p) for p in zip(spans, (who, begin, end), strict=True)),
-            [None] * len(own_spans) + text,
+            [None] * len(own_spans) + [text[i] for i in plain.tolist()] + piece_text,
         )
 
     def settle_bucket(table):
         """Removed spans: kind 0 as they are, texts that stand earlier in another shard, and what the suffix arrays find between the distinct texts."""
         shard, doc, start, stop, kind = (np.asarray(table.column(c).combine_chunks()) for c in ("shard", "doc", "start", "stop", "kind"))
         lead = np.asarray(table.column("lead").combine_chunks().cast(pa.int8())) > 0
-        compared = np.flatnonzero((kind > 0) & lead)
+        # A route with one text is settled: its rows are that text's copies.
+        mine = np.flatnonzero((kind > 0) & lead)
+        _, group, count = np.unique(np.asarray(table.column("route").combine_chunks())[mine], return_inverse=True, return_counts=True)
+        compared = mine[count[group] > 1]
+        compared = compared[meeting(texts(table.column("text").take(pa.array(compared))), length)]
         out = [np.stack([c[(kind == 0) | ~lead] for c in (shard, doc, start, stop)])]
         some = table.select(["doc_id", "seq", "doc", "start"]).take(pa.array(compared))
         strings = texts(table.column("text").take(pa.array(compared)))
@@ -246,7 +255,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
 
     def led(pieces):
         """Marks one row of each text of a route, the oldest; a shard sends a text once at most, so no text has more rows than there are shards."""
-        age = F.struct("doc_id", "seq", "doc", "start")
+        age = F.struct("doc_id", "seq", "doc", "start", "shard", "stop")
         oldest = F.min(age).over(Window.partitionBy("bucket", "route", "text"))
         return pieces.withColumn("lead", (F.col("kind") == 0) | age.eqNullSafe(oldest))
 
@@ -284,12 +293,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
     kinds = {"kept": "binary", "kept_text": "string"}
     digests = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {t} {kinds[t]}" for t in texts_out)
     schema = f"doc_id {id_kind}, {digests}" + (f", carried {dict(docs.dtypes)['carried']}" if carry else "")
-    counted = sharded.select("doc_id", "seq", "text", "shard").groupBy("shard").applyInArrow(mark_counts, "mark long, shard long, n long")
+    counted = sharded.groupBy("shard").applyInArrow(mark_counts, "mark long, shard long, n long")
     told = counted.withColumn("total", F.sum("n").over(Window.partitionBy("mark"))).where("total > 1").select("shard", "mark", "total")
     sent = sharded.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(settle_shard, row_kind).repartition("bucket")
-    # Conditions that hold rand() stay behind the exchange, so all branches read the same one.
-    kind = F.when(F.rand() >= 0, F.col("kind"))
-    crowded = led(sent.where(kind == 2))
+    # Filters on a generated column stay behind the exchange, and all branches use all columns, so all read the same one.
+    sent = sent.withColumn("kind", F.explode(F.array("kind")))
+    crowded = led(sent.where("kind = 2"))
     distinct = crowded.where("lead")
     cores = distinct.groupBy("route").agg(F.count("*").alias("pieces")).where(F.col("pieces") > CROWD)
     split = distinct.join(cores.hint("merge"), "route", "left")
@@ -299,7 +308,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
     split = split.withColumn("stop", F.col("start") + F.octet_length("text")).withColumn("route", F.when(F.col("pieces").isNull(), F.col("route")).otherwise(F.xxhash64("text")))
     split = split.withColumn("bucket", F.pmod(F.xxhash64("route"), F.lit(n_buckets)))
     spans = ["shard", "doc", "start", "stop"]
-    found = settle(sent.where(kind < 2)).union(crowded.where("not lead").select(*spans)).union(settle(split))
+    found = settle(sent.where("kind < 2")).union(crowded.where("not lead").select(*spans)).union(settle(split))
     cleaned = sharded.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(remove, schema)
     text = F.coalesce("text", F.lit(""))
     kept = {"kept": text.cast("binary").alias("kept"), "kept_text": text.alias("kept_text")}
