@@ -296,8 +296,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
     counted = sharded.groupBy("shard").applyInArrow(mark_counts, "mark long, shard long, n long")
     told = counted.withColumn("total", F.sum("n").over(Window.partitionBy("mark"))).where("total > 1").select("shard", "mark", "total")
     sent = sharded.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(settle_shard, row_kind).repartition("bucket")
-    # Filters on a generated column stay behind the exchange, and all branches use all columns, so all read the same one.
-    sent = sent.withColumn("kind", F.explode(F.array("kind")))
+    # Filters on generated columns stay behind the exchange, and all branches use all columns, so all read the same one.
+    made = F.explode(F.array(F.struct("kind", "route"))).alias("made")
+    sent = sent.select(*[c for c in sent.columns if c not in ("kind", "route")], made).select("*", "made.*").drop("made")
     crowded = led(sent.where("kind = 2"))
     distinct = crowded.where("lead")
     cores = distinct.groupBy("route").agg(F.count("*").alias("pieces")).where(F.col("pieces") > CROWD)
@@ -306,7 +307,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
     split = split.withColumn("shift", shift).withColumn("start", F.col("start") + F.col("shift"))
     split = split.withColumn("text", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(F.substring("text", F.col("shift").cast("int") + 1, F.lit(length))))
     split = split.withColumn("stop", F.col("start") + F.octet_length("text")).withColumn("route", F.when(F.col("pieces").isNull(), F.col("route")).otherwise(F.xxhash64("text")))
-    split = split.withColumn("bucket", F.pmod(F.xxhash64("route"), F.lit(n_buckets)))
+    split = split.withColumn("bucket", F.pmod(F.xxhash64("route"), F.lit(n_buckets))).repartition("bucket")
     spans = ["shard", "doc", "start", "stop"]
     found = settle(sent.where("kind < 2")).union(crowded.where("not lead").select(*spans)).union(settle(split))
     cleaned = sharded.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(remove, schema)
