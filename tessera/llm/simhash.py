@@ -124,7 +124,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     rows = saved(fingerprints(docs, doc_id, text, width))
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), nodes.count(), distance)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = saved(nodes.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # Both sides of this join are plain exchanges, so that a root with very many nodes can be split.
+    smallest = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_node = rooted.select("fp", "root").join(smallest.hint("merge"), "root").select("fp", "component_id")
     return rows.join(by_node.hint("merge"), "fp").select("doc_id", "fp", "component_id")
