@@ -2,24 +2,30 @@
 
 Texts are read as their lower-cased (A-Z) words, one space between words and an end symbol; contexts reach over
 word and document starts. The context trie is the table of all context-and-symbol strings of the training rows.
-It may outgrow any machine, so it stays in hash buckets of its last two context bytes: every shard of documents
-asks the buckets for the strings it holds and gets their code lengths back.
+It may outgrow any machine, so it stays in hash buckets of its last three context bytes, beside the counts of all
+strings of three bytes, which are bounded. Shards of documents ask the buckets for the strings they hold and get
+their code lengths back. A bucket's counts are summed by groups of shards first, and every group is answered by
+itself, so a common context grows with its distinct strings and never with the shards that ask for it.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pack, pack_sorted, shard_count, split_bucket, table_of, texts, unpack, unpack_sorted, with_shard
+from tessera.llm.common import pack, pack_sorted, split_bucket, table_of, texts, unpack, unpack_sorted
 
 ORDER = 5
 END = 10  # no word holds a line feed
 SHARD_BYTES = 16 << 20
 CHUNK = 1 << 18
-LEAST = 4  # a context seen less often is passed over for a shorter one, at no cost
+LEAST = 1  # a context seen less often is passed over for a shorter one; 1 passes over none
+BUCKETS = 4096  # buckets at most: a shard sends that many messages at most
+GROUP = 256  # shards whose questions meet in one task
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -27,7 +33,9 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def normal(text: bytes) -> bytes:
-    return b" ".join(text.lower().split()) + b"\n"
+    if len(text) < CHUNK:
+        return b" ".join(text.lower().split()) + b"\n"
+    return re.sub(rb"[\x20\x09-\x0d]+", b" ", text.lower()).strip(b" ") + b"\n"  # a list of words takes ten times the text
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
@@ -40,38 +48,46 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def chunks(docs: list[bytes]):
-    """(first, past last) document numbers of runs of about CHUNK bytes."""
-    first = size = 0
+def parts_of(docs: list[bytes], order: int):
+    """(documents, contexts, parts) of about CHUNK bytes: normal texts in order, long ones cut behind a space, each part with the `order` bytes before it."""
+    owner, lead, parts, size = [], [], [], 0
     for i, d in enumerate(docs):
-        if size and size + len(d) > CHUNK:
-            yield first, i
-            first, size = i, 0
-        size += len(d)
-    if docs:
-        yield first, len(docs)
-
-
-def grams(docs: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context-and-symbol strings of some documents, symbol lowest, and each document's first place."""
-    pad = bytes([END]) * order
-    x = np.frombuffer(pad + pad.join(docs), dtype=np.uint8)
+        a = 0
+        while a < len(d):
+            b = len(d)
+            if b - a > CHUNK:
+                b = d.rfind(b" ", a, a + CHUNK) + 1 or d.find(b" ", a + CHUNK) + 1 or len(d)
+            if size and size + b - a > CHUNK:
+                yield np.array(owner), lead, parts
+                owner, lead, parts, size = [], [], [], 0
+            owner.append(i)
+            lead.append((bytes([END]) * order + d[max(a - order, 0) : a])[-order:] if order else b"")
+            parts.append(d[a:b])
+            size += b - a
+            a = b
+    if parts:
+        yield np.array(owner), lead, parts
+
+
+def grams(lead: list[bytes], parts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context-and-symbol strings of the parts behind their contexts, symbol lowest, and each part's first place."""
+    x = np.frombuffer(b"".join(c + p for c, p in zip(lead, parts, strict=True)), dtype=np.uint8)
     key = np.zeros(len(x) - order, dtype=np.uint64)
     for k in range(order + 1):
         key = (key << np.uint64(8)) | x[k : len(x) - order + k]
-    lengths = np.array([len(d) for d in docs])
+    lengths = np.array([len(d) for d in parts])
     starts = np.cumsum(lengths + order) - lengths - order
     if order:
         keep = np.ones(len(key), dtype=bool)
-        for k in range(order):  # places that only lead up to the next document
+        for k in range(order):  # places that only lead up to the next part
             keep[starts[1:] - order + k] = False
         key = key[keep]
     return key, np.cumsum(lengths) - lengths
 
 
-def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in turn, and the number of words of each document."""
-    x = np.frombuffer(b"".join(docs), dtype=np.uint8)
+def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in turn, and the number of words of each part."""
+    x = np.frombuffer(b"".join(parts), dtype=np.uint8)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[x] * _power(_B, len(x)), dtype=np.uint64)])
     ends = np.flatnonzero((x == 32) | (x == END))
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -81,7 +97,7 @@ def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    bounds = np.cumsum([len(d) for d in docs])
+    bounds = np.cumsum([len(d) for d in parts])
     counts = np.diff(np.searchsorted(e, bounds, side="left"), prepend=0)
     return h, counts
 
@@ -105,39 +121,41 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def inventory(docs: list[bytes], learn: np.ndarray, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By kind (0 strings, 1 words): the shard's distinct keys, ascending, and their counts in learned documents."""
-    parts: dict[int, list] = {0: [], 1: []}
-    for a, b in chunks(docs):
+    kept: dict[int, list] = {0: [], 1: []}
+    for owner, lead, parts in parts_of(docs, order):
         for wanted in (True, False):
-            some = [d for d, y in zip(docs[a:b], learn[a:b], strict=True) if y == wanted]
+            some = np.flatnonzero(learn[owner] == wanted).tolist()
             if some:
-                for kind, keys in ((0, grams(some, order)[0]), (1, word_hashes(some)[0])):
+                mine = [parts[i] for i in some]
+                for kind, keys in ((0, grams([lead[i] for i in some], mine, order)[0]), (1, word_hashes(mine)[0])):
                     k, c = _counted(np.sort(keys))
-                    parts[kind].append((k, c if wanted else np.zeros_like(c)))
-    return {kind: _merge(p) for kind, p in parts.items()}
+                    kept[kind].append((k, c if wanted else np.zeros_like(c)))
+    return {kind: _merge(p) for kind, p in kept.items()}
 
 
 def _bucket(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Strings go by their two latest context bytes, words by their hash."""
-    near = (keys >> np.uint64(8)) & np.uint64(0xFFFF) if kind == 0 else keys
+    """Strings go by their three latest context bytes, words by their hash."""
+    near = (keys >> np.uint64(8)) & np.uint64(0xFFFFFF) if kind == 0 else keys
     return (((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def code_lengths(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int, least: int = LEAST) -> np.ndarray:
+def code_lengths(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, triples: tuple[np.ndarray, np.ndarray], order: int, least: int = LEAST) -> np.ndarray:
     """log10 probabilities of ascending `asked` strings under the trie of the training strings `keys`.
 
     Escapes follow method D: half a count is taken from every symbol of a context and given to the escape. After
     an escape, symbols seen in the longer context are excluded. Contexts seen fewer than `least` times are not
-    tried: a longer context is seen no more often than its shorter ones, so only the longest are passed over. Orders 2 and up come from the bucket's own
-    strings, orders 1 and 0 from `pairs`, the counts of all (byte, symbol) pairs.
+    tried: a longer context is seen no more often than its shorter ones, so only the longest are passed over.
+    Orders 3 and up come from the bucket's own strings, orders 2 to 0 from `triples`, all strings of three bytes
+    in order and their counts.
     """
     levels = {order: (keys, counts.astype(np.float64))}
-    for k in range(order - 1, 1, -1):
+    for k in range(order - 1, 2, -1):
+        upper = levels[k + 1]
+        levels[k] = _merge([(upper[0] & np.uint64((1 << 8 * (k + 1)) - 1), upper[1])])
+    levels[2] = (triples[0], triples[1].astype(np.float64))
+    for k in (1, 0):
         upper = levels[k + 1]
         levels[k] = _merge([(upper[0] & np.uint64((1 << 8 * (k + 1)) - 1), upper[1])])
-    flat = np.flatnonzero(pairs)
-    levels[1] = (flat.astype(np.uint64), pairs.reshape(-1)[flat].astype(np.float64))
-    singles = pairs.sum(axis=0)
-    levels[0] = (np.flatnonzero(singles).astype(np.uint64), singles[singles > 0].astype(np.float64))
     out = np.zeros(len(asked), dtype=np.float64)
     open_ = np.ones(len(asked), dtype=bool)
     above_q = above_x = None  # by asked string: symbols excluded, and their count at this level
@@ -172,128 +190,146 @@ def code_lengths(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, pairs:
     return out
 
 
-def statistics(docs: DataFrame, learned, buckets: int) -> tuple[np.ndarray, int, int]:
-    """Counts of (byte, symbol) pairs, tokens and distinct tokens of the learned rows; two bounded tables and sums reach the driver."""
+def statistics(docs: DataFrame, learned) -> tuple[tuple[np.ndarray, np.ndarray], int, int]:
+    """Counts of all strings of three bytes of the learned rows, their tokens and distinct tokens.
+
+    At most 2^24 strings exist, which bounds what reaches the driver; words are counted apart and only their sums do.
+    """
 
     def run(batches):
-        pairs, tokens, words = np.zeros(65536, dtype=np.int64), 0, []
+        found: dict[int, list] = {0: [], 1: []}
+        ends = 0
         for batch in batches:
             every = [normal(t) for t in texts(batch.column("text"))]
-            for a, b in chunks(every):
-                key, _ = grams(every[a:b], 1)
-                pairs += np.bincount(key.astype(np.int64), minlength=65536)
-                h, _ = word_hashes(every[a:b])
-                tokens += len(h) + b - a
-                words.append(_counted(np.sort(h))[0])
-                if len(words) > 16:
-                    words = [np.unique(np.concatenate(words))]
-        rows = [(-1, tokens, pack(pairs))]
-        h = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        home = _bucket(1, h, buckets)
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-        rows += [(b, 0, pack_sorted(h[order[cuts[b] : cuts[b + 1]]])) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "tokens", "blob"])
-
-    def gather(key, table):
-        bucket = key[0].as_py()
-        blobs = table.column("blob").to_pylist()
-        if bucket < 0:
-            return table_of({"bucket": [bucket], "tokens": [sum(table.column("tokens").to_pylist())], "blob": [pack(sum(unpack(b, np.int64) for b in blobs))]}, "bucket long, tokens long, blob binary")
-        return table_of({"bucket": [bucket], "tokens": [len(np.unique(np.concatenate([unpack_sorted(b) for b in blobs])))], "blob": [b""]}, "bucket long, tokens long, blob binary")
-
-    parts = docs.where(learned).select("text").mapInArrow(run, "bucket long, tokens long, blob binary")
-    rows = parts.groupBy("bucket").applyInArrow(gather, "bucket long, tokens long, blob binary").collect()
-    head = [r for r in rows if r["bucket"] < 0]
-    pairs = unpack(head[0]["blob"], np.int64).reshape(256, 256) if head else np.zeros((256, 256), np.int64)
-    tokens = head[0]["tokens"] if head else 0
-    return pairs, tokens, sum(r["tokens"] for r in rows if r["bucket"] >= 0) + (1 if tokens else 0)
+            ends += len(every)
+            for _, lead, parts in parts_of(every, 2):
+                for kind, keys in ((0, grams(lead, parts, 2)[0]), (1, word_hashes(parts)[0])):
+                    found[kind].append(_counted(np.sort(keys)))
+                    if len(found[kind]) > 16:
+                        found[kind] = [_merge(found[kind])]
+        merged = [_merge(found[k]) for k in (0, 1)]
+        kinds = np.concatenate([np.full(len(k), i) for i, (k, _) in enumerate(merged)] + [[2]])
+        keys = np.concatenate([*(k.view(np.int64) for k, _ in merged), [0]])
+        counts = np.concatenate([*(c for _, c in merged), [ends]])
+        for a in range(0, len(keys), 1 << 16):
+            some = [pa.array(v[a : a + (1 << 16)], t) for v, t in ((kinds, pa.int32()), (keys, pa.int64()), (counts, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(some, names=["kind", "key", "n"])
+
+    counted = docs.where(learned).select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    triple = F.when(F.col("kind") == 0, F.col("key"))
+    rows = counted.groupBy("kind", triple.alias("triple")).agg(F.sum("n").alias("n"), F.count("*").alias("keys")).toArrow().to_pydict()
+    kind, triple, n, keys = (np.array([v or 0 for v in rows[c]], dtype=np.int64) for c in ("kind", "triple", "n", "keys"))
+    order = np.flatnonzero(kind == 0)[np.argsort(triple[kind == 0])]
+    ends = int(n[kind == 2].sum())
+    return (triple[order].astype(np.uint64), n[order]), int(n[kind == 1].sum()) + ends, int(keys[kind == 1].sum()) + (ends > 0)
 
 
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+ASKED = "kind int, bucket int, grp long, shard long, keys binary, counts binary"
+REPLIED = "shard long, kind int, keys binary, reply binary"
+SUMMED = "kind int, bucket int, grp long, keys binary, counts binary"
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Rows whose crc32(doc_id as text) mod `modulus` is `held` are not learned from. base_score is that of
-    add-one word unigrams over words and an end token; score is the trie's. A null text is empty, a null id
-    counts as empty text. Repeated rows are learned and scored as often as they come; without learned rows every
-    byte costs log10(256). Other columns are not read; an empty table gives none.
+    add-one word unigrams over words and an end token; score is the trie's, of `order` 3 or more. A null text is
+    empty, a null id counts as empty text. Repeated rows are learned and scored as often as they come; without
+    learned rows every byte costs log10(256). Other columns are not read; an empty table gives none.
     """
     docs = docs.select("doc_id", "text")
     kind_of_id = dict(docs.dtypes)["doc_id"]
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
-    n_shards = shard_count(docs, shard_bytes)
-    buckets = max(8, n_shards)
-    pairs, n_train, n_distinct = statistics(docs, crc != held, buckets)
-    end_count = int(pairs[:, END].sum())
-    shared = docs.sparkSession.sparkContext.broadcast(pairs)  # 65,536 counts
-    sharded = with_shard(docs, n_shards)
+    total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    n_shards = max(1, -(-total // shard_bytes))
+    buckets, groups = min(BUCKETS, max(8, n_shards)), -(-n_shards // GROUP)
+    triples, n_train, n_distinct = statistics(docs, crc != held)
+    end_count = int(triples[1][(triples[0] & np.uint64(255)) == END].sum())
+    shared = docs.sparkSession.sparkContext.broadcast(triples)  # 2^24 counts at most
+    # Rows go by id and text, so rows without an id spread; equal rows may meet, in any shard alike.
+    sharded = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)))
 
     def opened(table):
         ids = table.column("doc_id").to_pylist()
-        return ids, [normal(t) for t in texts(table.column("text"))], np.array([split_bucket(i, modulus) != held for i in ids], dtype=bool)
+        return [normal(t) for t in texts(table.column("text"))], np.array([split_bucket(i, modulus) != held for i in ids], dtype=bool)
 
     def ask(key, table):
-        _, every, learn = opened(table)
-        out = {"kind": [], "bucket": [], "shard": [], "keys": [], "counts": []}
+        every, learn = opened(table)
+        shard = key[0].as_py()
+        out = {"kind": [], "bucket": [], "grp": [], "shard": [], "keys": [], "counts": []}
         for kind, (keys, counts) in inventory(every, learn, order).items():
             home = _bucket(kind, keys, buckets)
             by = np.argsort(home, kind="stable")
             cuts = np.searchsorted(home[by], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 part = by[cuts[b] : cuts[b + 1]]
-                for name, value in zip(out, (kind, b, key[0].as_py(), pack_sorted(keys[part]), pack(counts[part].astype(np.uint32))), strict=True):
+                for name, value in zip(out, (kind, b, shard // GROUP, shard, pack_sorted(keys[part]), pack(counts[part].astype(np.uint32))), strict=True):
                     out[name].append(value)
-        return table_of(out, "kind int, bucket int, shard long, keys binary, counts binary")
+        return table_of(out, ASKED)
+
+    def add_up(kind, bucket, group, table, width):
+        keys, counts = _merge([(unpack_sorted(k), unpack(c, width).astype(np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)])
+        known = counts > 0
+        return table_of({"kind": [kind], "bucket": [bucket], "grp": [group], "keys": [pack_sorted(keys[known])], "counts": [pack(counts[known])]}, SUMMED)
+
+    def sum_group(key, table):
+        return add_up(*(k.as_py() for k in key), table, np.uint32)
+
+    def sum_bucket(key, table):
+        return add_up(key[0].as_py(), key[1].as_py(), 0, table, np.int64)
 
-    def answer(key, table):
+    def answer(key, table, model):
         kind, bucket = key[0].as_py(), key[1].as_py()
-        lists = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-        keys, counts = _merge([(k, unpack(c, np.uint32).astype(np.int64)) for k, c in zip(lists, table.column("counts").to_pylist(), strict=True)])
+        blobs = table.column("keys").to_pylist()
+        if not blobs:  # no shard of this group asks
+            return table_of({c: [] for c in ("shard", "kind", "keys", "reply")}, REPLIED)
+        lists = [unpack_sorted(k) for k in blobs]
+        keys = np.unique(np.concatenate(lists))
+        learned, counts = unpack_sorted(model.column("keys")[0].as_py()), unpack(model.column("counts")[0].as_py(), np.int64)
         if kind == 0:
-            known = counts > 0
-            value = code_lengths(keys, keys[known], counts[known], shared.value, order).astype(np.float32)
+            value = code_lengths(keys, learned, counts, shared.value, order).astype(np.float32)
         else:
-            value = counts.astype(np.uint32)
+            value, asked_too = np.zeros(len(keys), dtype=np.int64), np.isin(learned, keys)
+            value[np.searchsorted(keys, learned[asked_too])] = counts[asked_too]
         replies = [pack(value[np.searchsorted(keys, k)]) for k in lists]
-        return table_of({"shard": table.column("shard"), "kind": [kind] * len(lists), "bucket": [bucket] * len(lists), "reply": replies}, "shard long, kind int, bucket int, reply binary")
+        return table_of({"shard": table.column("shard"), "kind": [kind] * len(lists), "keys": blobs, "reply": replies}, REPLIED)
 
     def finish(key, table, replies):
-        ids, every, learn = opened(table)
-        known = inventory(every, learn, order)
-        got = sorted(zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist(), replies.column("reply").to_pylist(), strict=True))
-        value = {}
-        for kind, (keys, _) in known.items():
-            joined = [unpack(r, np.float32 if kind == 0 else np.uint32) for k, _, r in got if k == kind]
-            by = np.argsort(_bucket(kind, keys, buckets), kind="stable")
-            value[kind] = np.zeros(len(keys), dtype=np.float64)
-            value[kind][by] = np.concatenate(joined) if joined else 0
-        n, known_n, base, total = (np.zeros(len(ids)) for _ in range(4))
+        every, learn = opened(table)
+        told = {}
+        for kind, number in ((0, np.float32), (1, np.int64)):
+            mine = [(unpack_sorted(k), unpack(r, number)) for q, k, r in zip(*(replies.column(c).to_pylist() for c in ("kind", "keys", "reply")), strict=True) if q == kind]
+            keys, values = (np.concatenate([m[i] for m in mine]) if mine else np.zeros(0, t) for i, t in ((0, np.uint64), (1, number)))
+            by = np.argsort(keys)
+            told[kind] = keys[by], values[by]
+        n, known_n, base, total = (np.zeros(len(every)) for _ in range(4))
         unit = np.log10(n_train + n_distinct + 1) if n_train else 0.0
-        for a, b in chunks(every):
-            key_, first = grams(every[a:b], order)
-            by = np.argsort(key_)
-            u, c = _counted(key_[by])
-            each = np.empty(len(key_))
-            each[by] = np.repeat(value[0][np.searchsorted(known[0][0], u)], c)
-            total[a:b] = np.add.reduceat(each, first)
-            h, words = word_hashes(every[a:b])
-            c = value[1][np.searchsorted(known[1][0], h)] if len(h) else np.zeros(0)
+        for owner, lead, parts in parts_of(every, order):
+            keys, first = grams(lead, parts, order)
+            by = np.argsort(keys)
+            u, c = _counted(keys[by])
+            each = np.empty(len(keys))
+            each[by] = np.repeat(told[0][1][np.searchsorted(told[0][0], u)], c)
+            np.add.at(total, owner, np.add.reduceat(each, first))
+            h, words = word_hashes(parts)
+            c = told[1][1][np.searchsorted(told[1][0], h)] if len(h) else np.zeros(0)
             past = np.cumsum(words)
             for target, part in ((base, np.log10(c + 1) - unit), (known_n, c > 0)):
                 sums = np.concatenate([[0.0], np.cumsum(part)])
-                target[a:b] = sums[past] - sums[past - words]
-            n[a:b] = words
+                np.add.at(target, owner, sums[past] - sums[past - words])
+            np.add.at(n, owner, words)
         base += np.log10(end_count + 1) - unit
         known_n += end_count > 0
         return table_of(
-            {"doc_id": table.column("doc_id"), "held_out": ~learn, "n_tokens": (n + 1).astype(np.int64), "n_known": known_n.astype(np.int64), "train_tokens": [n_train] * len(ids), "base_score": base, "score": total},
+            {"doc_id": table.column("doc_id"), "held_out": ~learn, "n_tokens": (n + 1).astype(np.int64), "n_known": known_n.astype(np.int64), "train_tokens": [n_train] * len(every), "base_score": base, "score": total},
             schema,
         )
 
     schema = f"doc_id {kind_of_id}, held_out boolean, {SCORES}"
-    asked = sharded.groupBy("shard").applyInArrow(ask, "kind int, bucket int, shard long, keys binary, counts binary")
-    answers = asked.groupBy("kind", "bucket").applyInArrow(answer, "shard long, kind int, bucket int, reply binary")
+    asked = sharded.groupBy("shard").applyInArrow(ask, ASKED)
+    summed = asked.groupBy("kind", "bucket", "grp").applyInArrow(sum_group, SUMMED)
+    models = summed.groupBy("kind", "bucket").applyInArrow(sum_bucket, SUMMED)
+    for_groups = models.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    answers = asked.groupBy("kind", "bucket", "grp").cogroup(for_groups.groupBy("kind", "bucket", "grp")).applyInArrow(answer, REPLIED)
     return sharded.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(finish, schema)
