@@ -152,40 +152,52 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return {n: tuple(np.array(v, dtype=np.int64) for v in zip(*runs, strict=True)) for n, runs in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = MAX_TOKENS, doc_id: str = "doc_id", text: str = "text", groups: int = 256) -> DataFrame:
+#: Pieces of one length that are ranked in one group.
+RANKED = 50_000
+
+
+def pack(docs: DataFrame, tokenizer: str, limit: int = MAX_TOKENS, doc_id: str = "doc_id", text: str = "text", ranked: int = RANKED) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row per piece.
 
     Each document is its ids and an end id, cut at every `limit` tokens; a null text is empty and still has its
-    end id. Pieces are ranked within their length by a hash group of the id and then by id, so that no length,
-    however common, is ranked in one task. Repeated rows are documents of their own. Only the histogram (by
-    length and group) and the patterns, both bounded by `limit`, reach the driver. An empty table gives none.
+    end id. Pieces are ranked within their length by a hash group and then by id; a length has a group for every
+    `ranked` pieces, so no length, however common, is ranked in one task, and neither are null or repeated ids.
+    Repeated rows are documents of their own. Only the histogram (by length and group, a number for every `ranked`
+    pieces) and the patterns, bounded by `limit`, reach the driver. An empty table gives none.
     """
     from tessera.llm.components import saved
 
     pieces = saved(cut(docs, tokenizer, limit, doc_id, text))
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).toArrow().to_pydict()
+    groups = np.ones(limit + 1, dtype=np.int64)
+    groups[lengths["length"]] = -(-np.array(lengths["n"], dtype=np.int64) // ranked)
+    # The pieces are read back from where they were written, so their numbers are the same every time.
+    number = F.xxhash64("doc_id", "start", F.monotonically_increasing_id())
+    grouped = pieces.withColumn("grp", F.pmod(number, F.get(F.lit(groups.tolist()), F.col("length").cast("int"))).cast("int"))
     counts = grouped.groupBy("length", "grp").agg(F.count("*").alias("n")).toArrow().to_pydict()
-    table = np.zeros((limit + 1, groups), dtype=np.int64)
-    table[counts["length"], counts["grp"]] = counts["n"]
-    before = np.cumsum(table, axis=1) - table
-    totals = table.sum(axis=1)
+    first = np.cumsum(groups) - groups
+    table = np.zeros(groups.sum(), dtype=np.int64)
+    table[first[counts["length"]] + np.array(counts["grp"], dtype=np.int64)] = counts["n"]
+    past = np.concatenate([[0], np.cumsum(table)])
+    before = past[:-1] - np.repeat(past[first], groups)
+    totals = np.add.reduceat(table, first)
     layout = slots(plan({int(n): int(totals[n]) for n in np.flatnonzero(totals)}, limit))
-    shared = docs.sparkSession.sparkContext.broadcast((before, layout))  # limit x groups counts and the patterns
+    shared = docs.sparkSession.sparkContext.broadcast((first, before, layout))
     order = Window.partitionBy("length", "grp").orderBy("doc_id", "start", "ids_crc32")
-    ranked = grouped.withColumn("rank", F.row_number().over(order))
+    placed = grouped.withColumn("rank", F.row_number().over(order))
 
     def place(batch):
-        offsets, runs = shared.value
+        firsts, offsets, runs = shared.value
         length, grp, rank = (np.asarray(batch.column(c)).astype(np.int64) for c in ("length", "grp", "rank"))
-        rank = offsets[length, grp] + rank - 1
+        rank = offsets[firsts[length] + grp] + rank - 1
         sequence, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
         for n in np.unique(length).tolist():
             at = np.flatnonzero(length == n)
-            first, base, shift = runs[n]
-            k = np.searchsorted(first, rank[at], side="right") - 1
-            sequence[at], offset[at] = base[k] + rank[at] - first[k], shift[k]
+            start, base, shift = runs[n]
+            k = np.searchsorted(start, rank[at], side="right") - 1
+            sequence[at], offset[at] = base[k] + rank[at] - start[k], shift[k]
         return {c: batch.column(c) for c in names} | {"sequence_id": sequence, "offset": offset}
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     kind = dict(pieces.dtypes)["doc_id"]
-    return map_rows(ranked, place, f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
+    return map_rows(placed, place, f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
