@@ -121,6 +121,12 @@ def apply_policy(rows: DataFrame, policy: Policy, column: str = "kept") -> DataF
     return rows.withColumn(column, F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0)
 
 
+def sole_rule(policy: Policy):
+    """The rule that alone makes the policy reject a row: without it the row would be kept. Null where none or several do."""
+    left = F.col("failed").bitwiseAND(F.lit(policy.mask))
+    return F.coalesce(*[F.when(left == BIT[r], F.lit(r)) for r in policy.rules])
+
+
 def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
     """(rule, n_failed, n_only): documents a rule fails, and those it alone rejects, from one pass over the masks."""
     masks = rows.groupBy(F.col("failed").bitwiseAND(F.lit(policy.mask)).alias("mask")).agg(F.count("*").alias("n"))
