@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the folder the session names; only where none is named (tests), a temporary one."""
+    """Uses the folder the session names; only in a local session that names none (tests), a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a written folder that is no longer needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """A copy in the shared checkpoint folder: survives lost executors and cuts the lineage."""
     ensure_checkpoints(df.sparkSession)
