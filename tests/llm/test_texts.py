@@ -272,3 +272,44 @@ def test_ppm(spark, odd):
     for r, w in zip(sorted(((r["doc_id"], r["n_tokens"], r["score"], r["base_score"]) for r in got), key=key), wanted, strict=True):
         assert r == pytest.approx(w, rel=1e-5)
     assert ppm.score(odd).count() == odd.count() and ppm.score(odd.limit(0)).count() == 0
+
+
+def test_decontamination_beyond_broadcast(spark, monkeypatch, odd):
+    """The way for sketches of any size finds what the way for small ones finds."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    own = docs.select((docs.doc_id + 10_000).alias("item_id"), docs.text.substr(1, 400).alias("text")).where("item_id % 9 = 1")
+    items, docs = items.union(own).union(items.limit(3)), docs.union(odd.select("doc_id", "text")).union(docs.limit(5)).union(docs.limit(4).selectExpr("cast(null as long)", "text"))
+    result = lambda: sorted(map(tuple, decontaminate.contaminated(docs, items).collect()), key=str)
+    small = result()
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    assert result() == small and len(small) > 10 and any(r[0] is None for r in small)
+
+
+def test_ppm_in_parts_and_groups(spark, monkeypatch):
+    """Neither cutting long texts into parts nor summing by groups of shards changes a score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.union(docs.limit(2)).union(docs.limit(2).selectExpr("cast(null as long)", "text")).union(docs.limit(1).selectExpr("doc_id", "concat(repeat('x', 3000), ' ', text)"))
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["base_score"])
+    whole = sorted(ppm.score(docs).collect(), key=key)
+    monkeypatch.setattr(ppm, "CHUNK", 700)
+    monkeypatch.setattr(ppm, "GROUP", 2)
+    parts = sorted(ppm.score(docs, shard_bytes=20_000).collect(), key=key)
+    for a, b in zip(whole, parts, strict=True):
+        assert a["doc_id"] == b["doc_id"] and tuple(a)[1:] == pytest.approx(tuple(b)[1:], rel=1e-6)
+
+
+def test_packing_groups(spark, odd):
+    """Few or many ranking groups: the same pieces, no gap, little padding."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text")).union(odd.selectExpr("cast(null as long)", "text"))
+    piece = lambda r: (str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"])
+    one, many = packing.pack(docs, path).collect(), packing.pack(docs, path, ranked=7).collect()
+    assert sorted(map(piece, one)) == sorted(map(piece, many))
+    for rows in (one, many):
+        ends = {}
+        for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert ends.get(r["sequence_id"], 0) == r["offset"]
+            ends[r["sequence_id"]] = r["offset"] + r["length"]
+        assert sorted(ends) == list(range(len(ends))) and max(ends.values()) <= 2048
+        assert len(ends) == -(-sum(r["length"] for r in rows) // 2048)
