@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, packing, simhash, substrings
 from tessera.llm.common import load, split_column
-from tessera.llm.components import ensure_checkpoints
+from tessera.llm.components import ensure_checkpoints, removed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -44,20 +44,23 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Bytes of characters that a cut breaks are dropped too; n_chars counts the text that is left.
     """
-    rows = substrings.repeated(docs, carry=("lang", "source"))
+    rows = substrings.repeated(docs, carry=("lang", "source"), texts_out=("kept_text",))
     left = rows.select("doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source")
     worded = F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) > 0
     return left.where(worded).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold at least four fifths of the shingles of a benchmark item; nulls count as an id."""
+    """Drops documents that hold at least four fifths of the shingles of a benchmark item; nulls count as an id, rows of one id go together.
+
+    Null and blank texts and items match nothing; without items, or without documents, all that is there stays.
+    """
     leaks = decontaminate.contaminated(docs, load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
     return docs.join(leaks.hint("merge"), docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
+    """Packs what is left into sequences of 2048 tokens; null texts and ids and repeated rows are documents like any other, an empty table gives no piece."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -71,11 +74,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of sf_dir; the last stage's rows are returned."""
+    """Applies the stages to the documents of sf_dir; the last stage's rows are returned, and what came before is deleted."""
     ensure_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = load(spark, sf_dir, "documents")
+    docs, last = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            removed(spark, last)
+        last = f"{folder}/{name}"
     return docs
