@@ -35,12 +35,23 @@ def _sign(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+#: Parts that the edges of a node are dealt to when they meet the node's minimum.
+PARTS = 8
+
+
+def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges (u, v) with the row of `low` for u. The edges of a node are dealt to PARTS by their other end, and each part gets a copy of that row."""
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    copies = low.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return dealt.join(copies.hint("merge"), ["u", "part"]).drop("part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an undirected edge table (a, b): root is the smallest node it reaches.
 
     Loops and repeated edges do no harm; nodes without an edge to another node are not returned. The number of
-    rounds grows with the logarithm of the longest path, and a node of high degree is only ever joined to one
-    row, its minimum, which adaptive skew handling can split.
+    rounds grows with the logarithm of the longest path, and a node of high degree is only ever joined to copies
+    of one row, its minimum.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = saved(e)
@@ -48,9 +59,9 @@ def components(edges: DataFrame) -> DataFrame:
     while sign[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, low).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         before, sign = sign, _sign(e)
         if before == sign:
