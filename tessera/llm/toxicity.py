@@ -229,7 +229,11 @@ def _sure(toxic: int, clean: int, share: float, tried: int) -> bool:
 def train(samples: list[tuple[dict[str, int], int]], n_marks: int = 32, rounds: int = 3, weights: dict[int, float] | None = None) -> Model:
     """Fits on (units with counts, label) pairs. Landmarks are the stems that best tell toxic documents from
     clean ones, each chosen for the toxic documents not covered three times yet, and frequent clean words. Stems
-    beyond two thirds of `n_marks` are added as long as they cannot be toxic by chance (`_sure`), without a bound."""
+    beyond two thirds of `n_marks` are added as long as they cannot be toxic by chance (`_sure`), without a bound.
+
+    The word machine learns from bounded witnesses of each sampled text: of a toxic one its three most toxic units
+    that bear a landmark's stem, of a clean one four units spread over its vocabulary and, in every round, the two
+    that look most toxic. The judge learns from all units of all sampled texts."""
     seen, kept = set(), []
     for u, y in samples:
         key = (frozenset(u), y)
@@ -327,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 800, n_marks: int = 32
         found = [units(t.decode("utf-8", "replace")) for t in texts(batch.column("text"))]
         return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "units": [list(u) for u in found], "counts": [list(u.values()) for u in found]}
 
-    rows = map_rows(some.select("doc_id", "toxic", "text"), reduce, "doc_id long, toxic int, units array<string>, counts array<int>").orderBy("doc_id", "units").collect()
+    rows = map_rows(some.select("doc_id", "toxic", "text"), reduce, f"doc_id {dict(some.dtypes)['doc_id']}, toxic int, units array<string>, counts array<int>").orderBy("doc_id", "units").collect()
     taken = Counter(r["toxic"] for r in rows)
     return train([(dict(zip(r["units"], r["counts"], strict=True)), r["toxic"]) for r in rows], n_marks, weights={k: counts[k] / max(n, 1) for k, n in taken.items()})
 
