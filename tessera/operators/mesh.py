@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import color as colors
 from tessera.functions import cube
-from tessera.operators.volume import KEY, held
-from tessera.params import GridParams
+from tessera.operators.tsdf import DirtyBlocks
+from tessera.operators.volume import KEY, Snapshot, held
+from tessera.params import GridParams, ParameterError
 
 CELL = ("cx", "cy", "cz")
 LEAST_WEIGHT = 1e-6
@@ -113,7 +115,15 @@ def extract(voxels: DataFrame, g: GridParams, iso: float = 0.0) -> DataFrame:
     return vertices(sparse_cells(voxels, g, iso), g.voxel_size, iso)
 
 
-def extract_dense(samples: DataFrame, pitch: float, iso: float = 0.0, origin=(0.0, 0.0, 0.0)) -> DataFrame:
+def extract_dense(samples: DataFrame, pitch: float, iso: float = 0.0, origin=(0.0, 0.0, 0.0), dims: tuple[int, int, int] | None = None) -> DataFrame:
+    """The mesh of a dense grid. With `dims` given, a grid under two samples a side or without all its samples is refused."""
+    if not pitch > 0:
+        raise ParameterError("the voxel size must be positive")
+    if dims is not None:
+        if min(dims) < 2:
+            raise ParameterError("a grid has two samples a side at least")
+        if (n := samples.count()) != dims[0] * dims[1] * dims[2]:
+            raise ParameterError(f"{n} samples, not {dims[0]} by {dims[1]} by {dims[2]}")
     return vertices(dense_cells(samples, iso), pitch, iso, origin)
 
 
@@ -131,8 +141,44 @@ def extract_incremental(mesh: DataFrame, voxels: DataFrame, remesh: DataFrame, g
     return _in_blocks(mesh, remesh, g, "left_anti").unionByName(extract_culled(voxels, remesh, g, iso))
 
 
-def block_spans(cells: DataFrame, g: GridParams) -> DataFrame:
-    """(block, triangle_base, triangle_count, vertex_base, vertex_count) in block order.
+@dataclass(frozen=True)
+class Mesh:
+    """Triangles with the volume and epoch they were extracted from; `whole` unless blocks were culled."""
+
+    triangles: DataFrame
+    grid: str
+    epoch: str
+    whole: bool = True
+    incremental: bool = False
+    remeshed: DataFrame | None = None
+
+    def remeshed_blocks(self) -> int:
+        return self.remeshed.count()
+
+
+def extract_volume(volume: Snapshot, g: GridParams, iso: float = 0.0, chosen: DataFrame | None = None) -> Mesh:
+    """The mesh of a volume's voxels, or of its chosen blocks alone."""
+    blocks = volume.blocks.select(*KEY) if chosen is None else volume.blocks.join(chosen.select(*KEY).distinct(), list(KEY), "left_semi").select(*KEY)
+    triangles = extract(volume.voxels, g, iso) if chosen is None else extract_culled(volume.voxels, blocks, g, iso)
+    return Mesh(triangles, volume.grid, volume.epoch, chosen is None, False, blocks)
+
+
+def extract_changed(volume: Snapshot, dirty: DirtyBlocks, before: Mesh | None, g: GridParams, iso: float = 0.0) -> Mesh:
+    """The mesh of the volume, meshing again only what `dirty` marks; `incremental` and `remeshed` tell what was done.
+
+    Everything is meshed, and that is no error, where an earlier mesh would lead astray: there is none, it was
+    culled, it or the marks belong to another volume or epoch, or the marks are stale.
+    """
+    if before is None or not before.whole or (before.grid, before.epoch) != (volume.grid, volume.epoch):
+        return extract_volume(volume, g, iso)
+    if dirty.blocks is not None and not dirty.vouched(volume):
+        return extract_volume(volume, g, iso)
+    again = dirty.remesh(volume)
+    return Mesh(extract_incremental(before.triangles, volume.voxels, again, g, iso), volume.grid, volume.epoch, True, True, again)
+
+
+def block_spans(cells: DataFrame, g: GridParams, epoch: str | None = None) -> DataFrame:
+    """(block, triangle_base, triangle_count, vertex_base, vertex_count) in block order, and the epoch they hold for if given.
 
     Bases are a running sum over the blocks alone. It is taken in two steps, inside slabs of bx and over the
     slabs, so that no task sees all blocks.
@@ -144,16 +190,19 @@ def block_spans(cells: DataFrame, g: GridParams) -> DataFrame:
     before = slabs.select("bx", (F.sum("slab").over(Window.orderBy("bx")) - F.col("slab")).alias("slab_base"))
     inner = F.sum("triangle_count").over(Window.partitionBy("bx").orderBy("by", "bz")) - F.col("triangle_count")
     out = per.withColumn("inner", inner).join(before, "bx").withColumn("triangle_base", (F.col("inner") + F.col("slab_base")).cast("long"))
-    return out.select(*KEY, "triangle_base", "triangle_count", (F.col("triangle_base") * 3).alias("vertex_base"), (F.col("triangle_count") * 3).alias("vertex_count"))
+    stamp = [F.lit(epoch).alias("epoch")] if epoch is not None else []
+    return out.select(*KEY, "triangle_base", "triangle_count", (F.col("triangle_base") * 3).alias("vertex_base"), (F.col("triangle_count") * 3).alias("vertex_count"), *stamp)
 
 
 def shared(cells: DataFrame, g: GridParams, iso: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(vertices, triangle corners) with vertices shared inside blocks.
+    """(vertices, triangle corners) with vertices shared inside blocks, which have 512 voxels at most.
 
     An edge belongs to the cell at its low end. Corners whose owner lies in another block, or emits nothing, get a
     vertex of their own (own_t, own_k tell which corner); the others share one per owner and axis, which has the
     owner's normal. Corners name their vertex by (owner, axis, own cell's t and k or -1).
     """
+    if g.voxels_per_block > 512:
+        raise ParameterError("vertices are shared in blocks of 512 voxels at most")
     soup = vertices(cells, g.voxel_size, iso)
     low = [cube.CORNERS[cube.low_end(e)[0]] for e in range(12)]
     edge = F.col("edge")

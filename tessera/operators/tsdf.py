@@ -2,70 +2,115 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import camera, color, coords
-from tessera.operators.volume import KEY, held, is_small
-from tessera.params import GridParams
+from tessera.operators.volume import KEY, Snapshot, held, is_small
+from tessera.params import GridParams, ParameterError, is_canonical
 
 VOXEL = (*KEY, "local")
 MODES = ("classic", "dynamic")
-#: Cells of depth images up to which they are sent to every task (8 bytes each, so 64 MB).
-BROADCAST_CELLS = 8_000_000
+#: Edge of an image tile; tiles overlap by one pixel to the right and below, so the four taps of a place lie in one.
+TILE = 64
+#: Cells of all images up to which their tiles are sent to every task (8 bytes each, so 32 MB); beyond, rows meet them by (frame, tile).
+BROADCAST_CELLS = 4_000_000
 
 
-def voxels(blocks: DataFrame, g: GridParams) -> DataFrame:
-    """One row per voxel with its world position (x, y, z)."""
-    out = blocks.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(g.voxels_per_block - 1))).alias("local"))
+def voxels(blocks: DataFrame, g: GridParams, *keep: str) -> DataFrame:
+    """One row per voxel with its world position (x, y, z) and the columns `keep`."""
+    out = blocks.select(*keep, *KEY, F.explode(F.sequence(F.lit(0), F.lit(g.voxels_per_block - 1))).alias("local"))
     parts = coords.local_parts(F.col("local"), g)
-    return out.select(*VOXEL, *[coords.voxel_to_world(F.col(k) * g.block_size + p, g).alias(a) for a, k, p in zip(coords.AXES, KEY, parts, strict=True)])
+    return out.select(*keep, *VOXEL, *[coords.voxel_to_world(F.col(k) * g.block_size + p, g).alias(a) for a, k, p in zip(coords.AXES, KEY, parts, strict=True)])
+
+
+def tiles(pixels: DataFrame, cameras: DataFrame, value: str = "depth") -> DataFrame:
+    """(frame_id, tile_x, tile_y, img): row-major tiles of TILE + 1 pixels a side with a pixel inside the image; other pixels are 0, and of repeated ones the largest counts."""
+    side = TILE + 1
+    sizes = cameras.select("frame_id", "width", "height")
+    inside = pixels.join(F.broadcast(sizes) if is_small(sizes) else sizes, "frame_id").where("u >= 0 and v >= 0 and u < width and v < height")
+    given = inside.groupBy("frame_id", "u", "v").agg(F.max(value).alias("value"))
+    # A pixel on the first column or row of a tile is also the last of the tile before.
+    def tiles_of(p: str) -> Column:
+        tile = F.floor(F.col(p) / TILE).cast("int")
+        return F.explode(F.when(F.col(p) % TILE == 0, F.array(tile, tile - 1)).otherwise(F.array(tile)))
+
+    placed = given.withColumn("tile_x", tiles_of("u")).withColumn("tile_y", tiles_of("v"))
+    cell = ((F.col("v") - F.col("tile_y") * TILE) * side + F.col("u") - F.col("tile_x") * TILE).cast("int")
+    # The list of given cells in order, with the gaps before, between and behind them filled by zeros.
+    zero = F.lit(0).cast(dict(pixels.dtypes)[value])
+    listed = placed.groupBy("frame_id", "tile_x", "tile_y").agg(F.array_sort(F.collect_list(F.struct(cell.alias("i"), F.col("value").alias("x")))).alias("cells"))
+    gap = lambda n: F.array_repeat(zero, n)
+    start = F.transform("cells", lambda k, n: F.concat(gap(k["i"] - F.when(n > 0, F.get("cells", n - 1)["i"]).otherwise(F.lit(-1)) - 1), F.array(k["x"])))
+    last = F.element_at("cells", -1)["i"]
+    return listed.select("frame_id", "tile_x", "tile_y", F.concat(F.flatten(start), gap(F.lit(side * side - 1) - last)).alias("img"))
 
 
-def images(pixels: DataFrame, cameras: DataFrame, value: str = "depth") -> DataFrame:
-    """Cameras with img, their row-major image; pixels that are missing are 0, and of repeated ones the largest counts."""
-    size = F.col("width") * F.col("height")
-    cells = cameras.select("frame_id", "width", F.explode(F.sequence(F.lit(0), size - 1)).alias("i")).select("frame_id", (F.col("i") % F.col("width")).alias("u"), F.floor(F.col("i") / F.col("width")).cast("int").alias("v"), "i")
-    given = pixels.groupBy("frame_id", "u", "v").agg(F.max(value).alias(value))
-    zero = F.lit(0).cast(dict(pixels.dtypes)[value])
-    filled = cells.join(given, ["frame_id", "u", "v"], "left").select("frame_id", F.struct("i", F.coalesce(value, zero).alias("x")).alias("cell"))
-    whole = filled.groupBy("frame_id").agg(F.sort_array(F.collect_list("cell")).alias("all"))
-    return cameras.join(whole.select("frame_id", F.transform("all", lambda k: k["x"]).alias("img")), "frame_id")
+def with_tiles(rows: DataFrame, pixels: DataFrame, cameras: DataFrame, value: str = "depth") -> DataFrame:
+    """Adds img, the tile of the frame that holds pixel (x0, y0), or null where it is all 0, and its place tile_x, tile_y."""
+    of = tiles(pixels, cameras, value)
+    cells = cameras.agg(F.sum(F.col("width").cast("long") * F.col("height"))).first()[0] or 0
+    at = held(rows, tile_x=F.floor(F.col("x0") / TILE).cast("int"), tile_y=F.floor(F.col("y0") / TILE).cast("int"))
+    return at.join(F.broadcast(of) if cells <= BROADCAST_CELLS else of, ["frame_id", "tile_x", "tile_y"], "left")
 
 
 def tap(x: Column, y: Column) -> Column:
-    """Image value at a column and row, null outside."""
+    """Image value at a column and row of the image, null outside; the pixel must lie in the row's tile."""
     inside = (x >= 0) & (y >= 0) & (x < F.col("width")) & (y < F.col("height"))
-    return F.when(inside, F.get("img", (y * F.col("width") + x).cast("int")))
+    return F.when(inside, F.coalesce(F.get("img", ((y - F.col("tile_y") * TILE) * (TILE + 1) + x - F.col("tile_x") * TILE).cast("int")), F.lit(0)))
 
 
 def with_depth(rows: DataFrame, g: GridParams) -> DataFrame:
-    """Adds d, the depth at (pu, pv): bilinear with pixel centres at halves; the containing pixel where a tap is
+    """Adds d, the depth at (pu, pv) in the tile of pixel (x0, y0): bilinear with pixel centres at halves; the containing pixel where a tap is
     outside, empty or not finite, or the taps jump."""
     c = F.col
-    low = held(rows, x0=F.floor(c("pu") - 0.5).cast("int"), y0=F.floor(c("pv") - 0.5).cast("int"))
     names = ["d00", "d10", "d01", "d11"]
-    taps = held(low, wx=c("pu") - 0.5 - c("x0"), wy=c("pv") - 0.5 - c("y0"), near=tap(F.floor("pu").cast("int"), F.floor("pv").cast("int")), **{f"d{i}{j}": tap(c("x0") + i, c("y0") + j) for j in (0, 1) for i in (0, 1)})
+    taps = held(rows, wx=c("pu") - 0.5 - c("x0"), wy=c("pv") - 0.5 - c("y0"), near=tap(F.floor("pu").cast("int"), F.floor("pv").cast("int")), **{f"d{i}{j}": tap(c("x0") + i, c("y0") + j) for j in (0, 1) for i in (0, 1)})
     flat = [c(n) for n in names]
     ok = coords.finite(*flat) & (F.least(*flat) > 0) & (F.greatest(*flat) - F.least(*flat) <= g.trunc_dist)
     for n in flat:
         ok = n.isNotNull() & ok
     top, under = flat[0] * (1 - c("wx")) + flat[1] * c("wx"), flat[2] * (1 - c("wx")) + flat[3] * c("wx")
-    return held(taps, d=F.when(ok, top * (1 - c("wy")) + under * c("wy")).otherwise(c("near"))).drop("x0", "y0", "wx", "wy", "near", *names)
+    return held(taps, d=F.when(ok, top * (1 - c("wy")) + under * c("wy")).otherwise(c("near"))).drop("x0", "y0", "wx", "wy", "near", "tile_x", "tile_y", *names)
+
+
+def seeing(blocks: DataFrame, cameras: DataFrame, g: GridParams) -> DataFrame:
+    """(frame_id, block): the frames that may see a voxel of the block, by their view cones up to the depth range and the truncation distance.
+
+    Cones are first dealt to coarse cells of many blocks, so blocks meet frames by cell and no block meets a frame
+    that looks elsewhere; then each block's box is held against the cone's planes.
+    """
+    c, edge = F.col, g.edge
+    reach = cameras.agg(F.max("max_depth")).first()[0] or 0.0
+    per = max(16, math.ceil((reach + g.trunc_dist) / (8 * edge)))  # blocks a coarse cell; a cone has some thousand cells at most
+    far = c("max_depth") + g.trunc_dist
+    turn = lambda a, b, k: [camera.at(c("pose"), i) * a + camera.at(c("pose"), 4 + i) * b + camera.at(c("pose"), 8 + i) * k for i in range(3)]
+    zero, one = F.lit(0.0), F.lit(1.0)
+    planes = []
+    for a, b, k, d in ((c("fx"), zero, c("cx"), zero), (-c("fx"), zero, c("width") - c("cx"), zero), (zero, c("fy"), c("cy"), zero), (zero, -c("fy"), c("height") - c("cy"), zero), (zero, zero, one, zero), (zero, zero, -one, far)):
+        n = turn(a, b, k)
+        planes.append(F.struct(*[n[i].alias(coords.AXES[i]) for i in range(3)], (d - sum((n[i] * camera.at(c("pose"), 12 + i) for i in range(3)), zero)).alias("d")))
+    sides = [((u - c("cx")) / c("fx") * far, (v - c("cy")) / c("fy") * far) for u in (zero, c("width")) for v in (zero, c("height"))]
+    corners = [[camera.at(c("pose"), 12 + i) for i in range(3)], *[camera.to_world(x, y, far, c("pose")) for x, y in sides]]
+    spans = {k: (F.least(*[p[i] for p in corners]), F.greatest(*[p[i] for p in corners])) for i, k in enumerate(KEY)}
+    cones = held(cameras, planes=F.array(*planes), **{f"{k}{end}": F.floor((v[e] + (2 * e - 1) * edge) / (per * edge)).cast("int") for k, v in spans.items() for e, end in enumerate(("_low", "_high"))})
+    cells = cones.select("frame_id", "planes", *[f"{k}{end}" for k in KEY for end in ("_low", "_high")])
+    for k in KEY:
+        cells = cells.withColumn(f"q{k}", F.explode(F.sequence(f"{k}_low", f"{k}_high")))
 
+    def met(rows: DataFrame, low: dict[str, Column], size: float) -> DataFrame:
+        """Rows whose box, of this low corner and size, is not wholly outside one plane."""
+        reach_of = lambda p, k, a: p[a] * (low[k] + F.when(p[a] >= 0, F.lit(size)).otherwise(F.lit(0.0)))
+        return rows.where(F.forall("planes", lambda p: ~(reach_of(p, KEY[0], "x") + reach_of(p, KEY[1], "y") + reach_of(p, KEY[2], "z") + p["d"] < 0)))
 
-def _framed(rows: DataFrame, frames: DataFrame) -> DataFrame:
-    """Every row with every frame: the frames' images go to the rows as one array if they are proven small."""
-    cells = frames.agg(F.sum(F.col("width").cast("long") * F.col("height"))).first()[0] or 0
-    if cells > BROADCAST_CELLS:
-        # Frames stay distributed; each is met by the rows through its id, exploded from the list of ids.
-        ids = frames.select("frame_id").agg(F.collect_set("frame_id").alias("ids"))
-        listed = [r for r in ids.first()["ids"]]
-        return rows.withColumn("frame_id", F.explode(F.array(*[F.lit(i) for i in listed]))).join(frames, "frame_id")
-    listed = [r["frame_id"] for r in frames.select("frame_id").collect()]
-    if not listed:
-        return rows.withColumn("frame_id", F.lit(0)).limit(0).join(frames, "frame_id")
-    return rows.withColumn("frame_id", F.explode(F.array(*[F.lit(i) for i in sorted(listed)]))).join(F.broadcast(frames), "frame_id")
+    # Boxes are a voxel wider than the voxel centres in them, which covers rounding.
+    coarse = met(cells, {k: c(f"q{k}").cast("double") * (per * edge) - g.voxel_size for k in KEY}, per * edge + g.voxel_size)
+    cell_of = [F.floor(c(k) / per).cast("int").alias(f"q{k}") for k in KEY]
+    pairs = blocks.select(*KEY, *cell_of).join(coarse.select("frame_id", "planes", *[f"q{k}" for k in KEY]), [f"q{k}" for k in KEY])
+    return met(pairs, {k: c(k).cast("double") * edge - g.voxel_size for k in KEY}, edge + g.voxel_size).select("frame_id", *KEY)
 
 
 def observations(blocks: DataFrame, pixels: DataFrame, cameras: DataFrame, g: GridParams, mode: str = "classic") -> DataFrame:
@@ -75,12 +120,13 @@ def observations(blocks: DataFrame, pixels: DataFrame, cameras: DataFrame, g: Gr
     Before the surface, classic mode clamps and dynamic mode clears.
     """
     if mode not in MODES:
-        raise ValueError("mode is classic or dynamic")
+        raise ParameterError("mode is classic or dynamic")
     c, t = F.col, g.trunc_dist
-    seen = _framed(voxels(blocks, g), images(pixels, cameras))
+    seen = voxels(seeing(blocks, cameras, g), g, "frame_id").join(F.broadcast(cameras) if is_small(cameras) else cameras, "frame_id")
     u, v, zc = camera.project(c("x"), c("y"), c("z"), c)
     near = held(seen, pu=u, pv=v, zc=zc).where(camera.in_image(c("pu"), c("pv"), c))
-    deep = with_depth(near, g).drop("img").where(~F.isnan("d") & (c("d") >= c("min_depth")) & (c("d") <= c("max_depth")))
+    low = held(near, x0=F.floor(c("pu") - 0.5).cast("int"), y0=F.floor(c("pv") - 0.5).cast("int"))
+    deep = with_depth(with_tiles(low, pixels, cameras), g).drop("img").where(~F.isnan("d") & (c("d") >= c("min_depth")) & (c("d") <= c("max_depth")))
     raw = deep.withColumn("raw", c("d") - c("zc")).where(c("raw") >= -t)
     weight = F.when(c("zc") > 0.01, 1.0 / (c("zc") * c("zc"))).otherwise(1.0) * F.when(c("zc") > c("d"), (t - (c("zc") - c("d"))) / t).otherwise(1.0)
     out = raw.select(*VOXEL, "frame_id", "x", "y", "z", "zc", c("d").alias("depth"), F.least(F.lit(t), c("raw")).alias("sdf"), weight.alias("w_obs"), ((c("raw") > t) if mode == "dynamic" else F.lit(False)).alias("clear"))
@@ -90,13 +136,15 @@ def observations(blocks: DataFrame, pixels: DataFrame, cameras: DataFrame, g: Gr
 def observed_colors(seen: DataFrame, color_pixels: DataFrame, color_cameras: DataFrame) -> DataFrame:
     """Adds color_obs: the packed colour at the voxel's pixel of the frame's colour camera, or null."""
     c = F.col
-    frames = images(color_pixels, color_cameras, "color").select("frame_id", F.struct("fx", "fy", "cx", "cy", "width", "height", "pose", "img").alias("k"))
-    joined = seen.join(F.broadcast(frames) if is_small(frames, 64) else frames, "frame_id", "left")
-    k = lambda n: c(f"k.{n}")
-    u, v, _ = camera.project(c("x"), c("y"), c("z"), k)
+    own = ("fx", "fy", "cx", "cy", "width", "height", "pose")
+    lens = color_cameras.select("frame_id", *own)
+    joined = seen.join(F.broadcast(lens) if is_small(lens) else lens, "frame_id", "left")
+    u, v, _ = camera.project(c("x"), c("y"), c("z"), c)
     both = held(joined, cu=u, cv=v)
-    value = F.get("k.img", (F.floor(c("cv")) * c("k.width") + F.floor(c("cu"))).cast("int"))
-    return both.withColumn("color_obs", F.when(camera.in_image(c("cu"), c("cv"), k), value)).drop("k", "cu", "cv")
+    inside = camera.in_image(c("cu"), c("cv"), c)
+    at = held(both, x0=F.when(inside, F.floor("cu")).cast("int"), y0=F.when(inside, F.floor("cv")).cast("int"))
+    shown = with_tiles(at, color_pixels, color_cameras, "color")
+    return shown.withColumn("color_obs", tap(c("x0"), c("y0"))).drop(*own, "cu", "cv", "x0", "y0", "tile_x", "tile_y", "img")
 
 
 def _blend(old: Column, new: Column, w_old: Column, w_obs: Column) -> Column:
@@ -137,14 +185,86 @@ def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFra
     return state.select(*VOXEL, F.col("r.s").alias("tsdf"), F.col("r.w").alias("weight"), F.col("r.c").alias("color"), F.col("r.ch").alias("changed"))
 
 
-def fuse(blocks: DataFrame, pixels: DataFrame, cameras: DataFrame, g: GridParams, mode: str = "classic", max_weight: float = 5.0, start: DataFrame | None = None, color_pixels: DataFrame | None = None, color_cameras: DataFrame | None = None) -> DataFrame:
-    """Fuses frames into every active voxel; voxels no frame touched are absent. No active block is no error."""
+def check_frames(cameras: DataFrame) -> None:
+    """Refuses cameras without an image or with a lens, depth range or pose that cannot project; one small aggregate."""
+    c = F.col
+    rules = {
+        "an image is empty": (c("width") > 0) & (c("height") > 0),
+        "a focal length is not positive": coords.finite(c("fx"), c("fy")) & (c("fx") > 0) & (c("fy") > 0),
+        "a principal point is not finite": coords.finite(c("cx"), c("cy")),
+        "a pose is not 16 finite numbers": (F.size("pose") == 16) & F.forall("pose", lambda v: coords.finite(v)),
+    }
+    if "min_depth" in cameras.columns:
+        rules["a depth range is not 0 <= min < max"] = coords.finite(c("max_depth")) & (c("min_depth") >= 0) & (c("min_depth") < c("max_depth"))
+    held_up = cameras.agg(*[F.min(F.coalesce(r, F.lit(False)).cast("int")).alias(str(i)) for i, r in enumerate(rules.values())]).first()
+    if bad := [why for why, ok in zip(rules, held_up, strict=True) if ok == 0]:
+        raise ParameterError("; ".join(bad))
+
+
+def fuse(blocks: DataFrame, pixels: DataFrame, cameras: DataFrame, g: GridParams, mode: str = "classic", max_weight: float = 5.0, start: DataFrame | None = None, color_pixels: DataFrame | None = None, color_cameras: DataFrame | None = None, encoding: tuple[str, str] = ("srgb", "bt709")) -> DataFrame:
+    """Fuses frames into every active voxel; voxels no frame touched are absent. No active block is no error.
+
+    Cameras that cannot project, a field without tsdf and weight, colour without a camera, and colour that is not in
+    the canonical `encoding` (transfer, primaries; see color.to_canonical) are refused.
+    """
+    check_frames(cameras)
+    if start is not None and (lost := {*VOXEL, "tsdf", "weight", "color"} - set(start.columns)):
+        raise ParameterError(f"the field lacks {', '.join(sorted(lost))}")
     seen = observations(blocks, pixels, cameras, g, mode)
     if color_pixels is not None:
+        if color_cameras is None:
+            raise ParameterError("colour pixels need their cameras")
+        if not is_canonical(*encoding):
+            raise ParameterError("colour is not in the canonical encoding; convert it first")
+        check_frames(color_cameras)
         seen = observed_colors(seen, color_pixels, color_cameras)
     return fold(seen, g, max_weight, start)
 
 
+@dataclass
+class DirtyBlocks:
+    """Blocks that fusions changed since the last reset, and the volume and epoch they refer to.
+
+    Marks on another volume start afresh. Marks after blocks were removed cannot tell what went with them: from then
+    on the set is stale and refused until a reset.
+    """
+
+    blocks: DataFrame | None = None
+    grid: str | None = None
+    epoch: str | None = None
+    stale: bool = False
+
+    def reset(self) -> None:
+        self.blocks, self.grid, self.epoch, self.stale = None, None, None, False
+
+    def mark(self, volume: Snapshot, fused: DataFrame) -> None:
+        """Adds the blocks that a fusion into `volume` changed."""
+        if self.grid != volume.grid:
+            self.reset()
+            self.grid, self.epoch = volume.grid, volume.epoch
+        elif self.epoch != volume.epoch:
+            self.stale, self.epoch = True, volume.epoch
+        changed = dirty_blocks(fused)
+        self.blocks = changed if self.blocks is None else self.blocks.union(changed).distinct()
+
+    def count(self) -> int:
+        return 0 if self.blocks is None else self.blocks.count()
+
+    def vouched(self, volume: Snapshot) -> bool:
+        """Whether the set tells all that changed in the volume as it is."""
+        return self.blocks is not None and not self.stale and self.grid == volume.grid and self.epoch == volume.epoch
+
+    def remesh(self, volume: Snapshot) -> DataFrame:
+        """The active blocks to mesh again; none if nothing was marked."""
+        if self.blocks is None:
+            return volume.blocks.select(*KEY).limit(0)
+        if self.grid != volume.grid:
+            raise ParameterError("the marks belong to another volume")
+        if not self.vouched(volume):
+            raise ParameterError("blocks were removed since the marks were made: mesh the whole volume, then reset")
+        return remesh_blocks(volume.blocks, self.blocks)
+
+
 def dirty_blocks(fused: DataFrame) -> DataFrame:
     return fused.where("changed").select(*KEY).distinct()
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import uuid
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,17 +15,33 @@ from tessera.params import GridParams, ParameterError
 KEY = ("bx", "by", "bz")
 
 
+def _token() -> str:
+    return uuid.uuid4().hex
+
+
 @dataclass(frozen=True)
 class Snapshot:
-    """Blocks (and voxels) with the version they were made at; removing or clearing makes a new version."""
+    """Blocks (and voxels) with the version they were made at; removing or clearing makes a new version.
+
+    `grid` names the volume through all its versions. `epoch` names the set of blocks that can be referred to: it
+    changes when blocks go, is kept when the volume grows, and no two volumes ever share one, in any process.
+    """
 
     blocks: DataFrame
     voxels: DataFrame | None = None
     version: int = 1
+    grid: str = field(default_factory=_token)
+    epoch: str = field(default_factory=_token)
 
-    def expect(self, version: int) -> None:
+    def expect(self, version: int, epoch: str | None = None) -> None:
         if version != self.version:
             raise ParameterError(f"made at version {version}, the volume is at {self.version}")
+        if epoch is not None and epoch != self.epoch:
+            raise ParameterError("made for another volume, or before blocks were removed")
+
+    def without(self, blocks: DataFrame, voxels: DataFrame | None) -> Snapshot:
+        """The next version, after blocks went."""
+        return replace(self, blocks=blocks, voxels=voxels, version=self.version + 1, epoch=_token())
 
 
 def attributes(declared: list[tuple[str, str]]) -> str:
@@ -103,21 +120,21 @@ def remove(volume: Snapshot, coordinates: DataFrame) -> Snapshot:
     """Drops blocks and their voxels; absent coordinates are ignored."""
     gone = coordinates.select(*KEY).distinct()
     voxels = volume.voxels.join(gone, list(KEY), "left_anti") if volume.voxels is not None else None
-    return Snapshot(volume.blocks.join(gone, list(KEY), "left_anti"), voxels, volume.version + 1)
+    return volume.without(volume.blocks.join(gone, list(KEY), "left_anti"), voxels)
 
 
 def clear(volume: Snapshot) -> Snapshot:
-    return Snapshot(volume.blocks.limit(0), volume.voxels.limit(0) if volume.voxels is not None else None, volume.version + 1)
+    return volume.without(volume.blocks.limit(0), volume.voxels.limit(0) if volume.voxels is not None else None)
 
 
 def resize(volume: Snapshot, g: GridParams, num_buckets: int) -> tuple[Snapshot, GridParams]:
-    """Growing changes capacity only; blocks and version stay."""
+    """Growing changes capacity only; blocks, version and epoch stay."""
     return replace(volume), g.grown(num_buckets)
 
 
-def block_list(volume: Snapshot, chosen: DataFrame, version: int) -> DataFrame:
-    """The chosen coordinates that are live, for a caller that made its choice at `version`."""
-    volume.expect(version)
+def block_list(volume: Snapshot, chosen: DataFrame, version: int, epoch: str | None = None) -> DataFrame:
+    """The chosen coordinates that are live, for a caller that made its choice at `version` (and `epoch`)."""
+    volume.expect(version, epoch)
     return volume.blocks.join(chosen.select(*KEY).distinct(), list(KEY), "left_semi")
 
 

@@ -11,8 +11,8 @@ from tessera.functions import color, coords
 from tessera.operators import mesh, metrics, texture, tsdf, volume
 from tessera.params import Camera, pinhole_planes, projection_planes, registered_depth
 from tessera.plans import oracles
-from tessera.plans.inputs import GRID, camera, cameras, color_pixels, load, pixels, points
-from tessera.sources import ply
+from tessera.plans.inputs import GRID, HEIGHT, ORDERS, WIDTH, camera, cameras, color_pixels, last_frame, load, pixels, points
+from tessera.sources import ply, scene
 
 G = GRID
 c = F.col
@@ -50,12 +50,12 @@ def spatial_hash(spark, d):
 
 @query
 def unproject_pixels(spark, d):
-    return volume.surface_points(pixels(spark, d), cameras(spark))
+    return volume.surface_points(pixels(spark, d), cameras(spark, d))
 
 
 @query
 def project_points(spark, d):
-    p = points(spark, d).withColumn("frame_id", (c("l_orderkey") % 4).cast("int")).join(F.broadcast(cameras(spark)), "frame_id")
+    p = points(spark, d).withColumn("frame_id", F.floor(c("l_orderkey") / ORDERS).cast("int")).join(cameras(spark, d), "frame_id")
     u, v, zc = cam.project(c("x"), c("y"), c("z"), c)
     return p.select("*", u.alias("u"), v.alias("v"), zc.alias("zc")).where(cam.in_image(c("u"), c("v"), c)).select("l_orderkey", "l_linenumber", "frame_id", r6(c("u")).alias("u"), r6(c("v")).alias("v"), "zc")
 
@@ -81,7 +81,7 @@ def primaries_rotate(spark, d):
 
 @query
 def pose_gl_to_cv(spark, d):
-    return cameras(spark).select("frame_id", F.posexplode(cam.gl_to_cv(c("pose"))).alias("place", "value"))
+    return cameras(spark, d).select("frame_id", F.posexplode(cam.gl_to_cv(c("pose"))).alias("place", "value"))
 
 
 @query
@@ -101,7 +101,7 @@ def allocate_from_points(spark, d):
 
 
 def _blocks(spark, d):
-    return volume.allocate_from_depth(pixels(spark, d), cameras(spark), G)
+    return volume.allocate_from_depth(pixels(spark, d), cameras(spark, d), G)
 
 
 @query
@@ -180,7 +180,7 @@ def block_lookup(spark, d):
 
 
 def _seen(spark, d, mode="classic"):
-    return tsdf.observations(_blocks(spark, d), pixels(spark, d), cameras(spark), G, mode)
+    return tsdf.observations(_blocks(spark, d), pixels(spark, d), cameras(spark, d), G, mode)
 
 
 @query
@@ -208,7 +208,7 @@ def tsdf_fuse_dynamic(spark, d):
 
 
 def _colored(spark, d):
-    return tsdf.fold(tsdf.observed_colors(_seen(spark, d), color_pixels(spark, d), cameras(spark)), G, 5.0)
+    return tsdf.fold(tsdf.observed_colors(_seen(spark, d), color_pixels(spark, d), cameras(spark, d)), G, 5.0)
 
 
 @query
@@ -218,9 +218,9 @@ def tsdf_fuse_color(spark, d):
 
 def _last_frame(spark, d):
     """The field before the last frame, and what that frame changes."""
-    seen = _seen(spark, d, "dynamic")
-    before = tsdf.fold(seen.where("frame_id < 3"), G, 5.0)
-    return tsdf.fold(seen.where("frame_id = 3"), G, 5.0, before)
+    seen, last = _seen(spark, d, "dynamic"), last_frame(spark, d)
+    before = tsdf.fold(seen.where(c("frame_id") < last), G, 5.0)
+    return tsdf.fold(seen.where(c("frame_id") == last), G, 5.0, before)
 
 
 @query
@@ -295,7 +295,7 @@ def mc_culled(spark, d):
 
 @query
 def mc_incremental(spark, d):
-    before = tsdf.fold(_seen(spark, d, "dynamic").where("frame_id < 3"), G, 5.0)
+    before = tsdf.fold(_seen(spark, d, "dynamic").where(c("frame_id") < last_frame(spark, d)), G, 5.0)
     after = _last_frame(spark, d)
     again = tsdf.remesh_blocks(_blocks(spark, d), tsdf.dirty_blocks(after))
     return _soup(mesh.extract_incremental(mesh.extract(before, G), after, again, G))
@@ -318,6 +318,42 @@ def ply_columns(spark, d):
     return ply.ply_columns(mesh.extract_dense(oracles_dense(spark), 0.0625)).select(*mesh.CELL, "t", "k", "red", "green", "blue")
 
 
+def _image_files(pixels, value, channels):
+    """The frames of a pixel table as PNG files whose lines use all filters in turn; missing pixels are 0."""
+    import numpy as np
+    import pyarrow as pa
+
+    def encode(table):
+        image = np.zeros((HEIGHT, WIDTH), dtype=np.int64)
+        u, v, x = (np.asarray(table.column(n).combine_chunks()) for n in ("u", "v", value))
+        image[v, u] = x
+        samples = image[..., None].astype(np.uint16) if channels == 1 else np.stack([image >> 8 * i & 255 for i in range(3)], axis=2).astype(np.uint8)
+        return pa.table({"frame_id": table.column("frame_id")[:1], "content": pa.array([scene.encode_png(samples, (0, 1, 2, 3, 4))], pa.binary())})
+
+    return pixels.select("frame_id", "u", "v", c(value).cast("long").alias(value)).groupBy("frame_id").applyInArrow(encode, "frame_id int, content binary")
+
+
+@query
+def scene_depth_images(spark, d):
+    """Depth frames through 16-bit images of 1/1024 metre steps, every second frame."""
+    steps = pixels(spark, d).withColumn("depth", c("depth") * 1024)
+    return scene.depth_of(_image_files(steps, "depth", 1), 1024.0, WIDTH, HEIGHT, stride=2)
+
+
+@query
+def scene_color_images(spark, d):
+    """Colour frames through RGB images, packed and unpacked again."""
+    shown = scene.color_of(_image_files(color_pixels(spark, d), "color", 3), WIDTH, HEIGHT)
+    return shown.select("frame_id", "u", "v", "color", *[x.cast("int").alias(n) for x, n in zip(scene.unpack_rgba(c("color")), ("red", "green", "blue", "alpha"), strict=True)])
+
+
+@query
+def newest_frames(spark, d):
+    """The newest event of every user, as a live capture keeps the newest frame of every source."""
+    e = load(spark, d, "events").select(c("user_id").alias("source"), c("event_id").alias("frame_id"))
+    return scene.newest(e)
+
+
 @query
 def timestamp_delta(spark, d):
     """Differences of a counter that wraps at 16 bits, in ticks and milliseconds."""
@@ -327,7 +363,7 @@ def timestamp_delta(spark, d):
 
 
 def _textured(spark, d):
-    return texture.texture(mesh.vertices(_cells(spark, d), G.voxel_size), pixels(spark, d), cameras(spark), 2, 0.0625)
+    return texture.texture(mesh.vertices(_cells(spark, d), G.voxel_size), pixels(spark, d), cameras(spark, d), 0, 0.0625)
 
 
 @query

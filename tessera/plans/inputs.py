@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.params import Camera, GridParams
 
 GRID = GridParams(voxel_size=0.0625, block_size=8, trunc_dist=0.25, bucket_size=4, num_buckets=64)
-FRAMES = 4
+ORDERS = 4096  # order keys that make up a frame, so frames grow with the input
+WIDTH, HEIGHT = 32, 24
 TURNS = ((1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0))
 
 
@@ -17,14 +18,27 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def camera(frame: int) -> Camera:
-    c, s = TURNS[frame]
-    pose = (c, s, 0.0, 0.0, -s, c, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0625 * frame, 0.125, -0.25, 1.0)
-    return Camera(16.0, 16.0, 8.0, 6.0, 16, 12, pose, 0.5, 2.5)
+    c, s = TURNS[frame % 4]
+    pose = (c, s, 0.0, 0.0, -s, c, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.5 * (frame % 16), 0.125 + 0.5 * (frame // 16), -0.25, 1.0)
+    return Camera(32.0, 32.0, 16.0, 12.0, WIDTH, HEIGHT, pose, 0.5, 2.5)
 
 
-def cameras(spark: SparkSession) -> DataFrame:
-    rows = [(f, k.fx, k.fy, k.cx, k.cy, k.width, k.height, list(k.pose), k.min_depth, k.max_depth) for f, k in ((f, camera(f)) for f in range(FRAMES))]
-    return spark.createDataFrame(rows, "frame_id int, fx double, fy double, cx double, cy double, width int, height int, pose array<double>, min_depth double, max_depth double").coalesce(1)
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / ORDERS).cast("int").alias("frame_id")).distinct()
+
+
+def last_frame(spark: SparkSession, sf_dir: str) -> int:
+    return frames(spark, sf_dir).agg(F.max("frame_id")).first()[0]
+
+
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One camera a frame, the pose of camera(frame_id) as a column; kept, since plans look at it several times."""
+    f = F.col("frame_id")
+    c, s = (F.get(F.array(*[F.lit(t[i]) for t in TURNS]), f % 4) for i in (0, 1))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    pose = F.array(c, s, zero, zero, -s, c, zero, zero, zero, zero, one, zero, 0.5 * (f % 16), 0.125 + 0.5 * F.floor(f / 16), F.lit(-0.25), one)
+    lens = [F.lit(v).alias(n) for n, v in (("fx", 32.0), ("fy", 32.0), ("cx", 16.0), ("cy", 12.0), ("width", WIDTH), ("height", HEIGHT))]
+    return frames(spark, sf_dir).coalesce(1).select("frame_id", *lens, pose.alias("pose"), F.lit(0.5).alias("min_depth"), F.lit(2.5).alias("max_depth")).persist()
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +50,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    cell = [(c("l_orderkey") % 4).cast("int").alias("frame_id"), (c("l_partkey") % 16).cast("int").alias("u"), (c("l_suppkey") % 12).cast("int").alias("v")]
+    cell = [F.floor(c("l_orderkey") / ORDERS).cast("int").alias("frame_id"), (c("l_partkey") % WIDTH).cast("int").alias("u"), (c("l_suppkey") % HEIGHT).cast("int").alias("v")]
     return load(spark, sf_dir, "lineitem").groupBy(*cell).agg((F.min(F.floor("l_quantity")).cast("double") * 0.03125 + 0.5).alias("depth"))
 
 
@@ -44,5 +58,5 @@ def color_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     p = c("p_partkey")
     packed = (c("p_size").cast("long") * 5 % 256).bitwiseOR(F.shiftleft(p % 256, 8)).bitwiseOR(F.shiftleft(p * 7 % 256, 16))
-    cell = [(p % 4).cast("int").alias("frame_id"), (F.floor(p / 4) % 16).cast("int").alias("u"), (F.floor(p / 64) % 12).cast("int").alias("v")]
+    cell = [F.floor(p / 512).cast("int").alias("frame_id"), (p % WIDTH).cast("int").alias("u"), (F.floor(p / WIDTH) % 16).cast("int").alias("v")]
     return load(spark, sf_dir, "part").groupBy(*cell).agg(F.max(packed).alias("color"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from tessera.functions import cube
-from tessera.plans.inputs import FRAMES, camera
+from tessera.plans.inputs import camera
 
 T = "0.25::DOUBLE"
 
@@ -15,8 +15,10 @@ def r6(x: str) -> str:
 
 
 def _cams() -> str:
-    rows = ", ".join(f"({f}, " + ", ".join(f"({v!r})::DOUBLE" for v in camera(f).pose) + ")" for f in range(FRAMES))
-    return f"SELECT * FROM (VALUES {rows}) AS t(frame_id, " + ", ".join(f"m{i}" for i in range(16)) + ")"
+    """Quarter turns about z and a grid of places, by the number of the frame."""
+    cos, sin = (f"CASE frame_id % 4 {' '.join(f'WHEN {i} THEN {float(v)}::DOUBLE' for i, v in enumerate(t))} END" for t in ((1, 0, -1, 0), (0, 1, 0, -1)))
+    cells = [cos, sin, 0, 0, f"-({sin})", cos, 0, 0, 0, 0, 1, 0, "0.5 * (frame_id % 16)", "0.125 + 0.5 * (frame_id // 16)", -0.25, 1]
+    return f"SELECT frame_id, {', '.join(f'({x})::DOUBLE AS m{i}' for i, x in enumerate(cells))} FROM (SELECT DISTINCT (l_orderkey // 4096)::INT AS frame_id FROM lineitem)"
 
 
 def _local(prefix: str) -> str:
@@ -119,31 +121,31 @@ def _soup(source: str, pitch: str = "0.0625::DOUBLE", origin=("0.0", "0.0", "0.0
 
 CTES = {
     "points": "SELECT l_orderkey, l_linenumber, (l_partkey % 97 - 48)::DOUBLE * 0.03125::DOUBLE AS x, (l_suppkey % 31 - 15)::DOUBLE * 0.03125::DOUBLE AS y, floor(l_quantity) * 0.03125::DOUBLE AS z FROM lineitem",
-    "pixels": "SELECT (l_orderkey % 4)::INT AS frame_id, (l_partkey % 16)::INT AS u, (l_suppkey % 12)::INT AS v, min(floor(l_quantity)) * 0.03125::DOUBLE + 0.5::DOUBLE AS depth FROM lineitem GROUP BY ALL",
-    "hues": "SELECT (p_partkey % 4)::INT AS frame_id, ((p_partkey // 4) % 16)::INT AS u, ((p_partkey // 64) % 12)::INT AS v, max((p_size * 5 % 256)::BIGINT | ((p_partkey % 256) << 8) | ((p_partkey * 7 % 256) << 16)) AS color FROM part GROUP BY ALL",
+    "pixels": "SELECT (l_orderkey // 4096)::INT AS frame_id, (l_partkey % 32)::INT AS u, (l_suppkey % 24)::INT AS v, min(floor(l_quantity)) * 0.03125::DOUBLE + 0.5::DOUBLE AS depth FROM lineitem GROUP BY ALL",
+    "hues": "SELECT (p_partkey // 512)::INT AS frame_id, (p_partkey % 32)::INT AS u, ((p_partkey // 32) % 16)::INT AS v, max((p_size * 5 % 256)::BIGINT | ((p_partkey % 256) << 8) | ((p_partkey * 7 % 256) << 16)) AS color FROM part GROUP BY ALL",
     "cams": _cams(),
     "tri": _TRI,
     "vox": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round_even({a} / 0.0625::DOUBLE, 0)::INT AS v{a}" for a in "xyz") + " FROM points",
     "blk": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"floor(v{a} / 8::DOUBLE)::INT AS b{a}" for a in "xyz") + " FROM vox",
-    "surf": "SELECT frame_id, u, v, " + ", ".join(f"m{i} * ((u - 8::DOUBLE) * depth / 16::DOUBLE) + m{4 + i} * ((v - 6::DOUBLE) * depth / 16::DOUBLE) + m{8 + i} * depth + m{12 + i} AS {a}" for i, a in enumerate("xyz")) + " FROM pixels JOIN cams USING (frame_id) WHERE depth >= 0.5 AND depth <= 2.5",
+    "surf": "SELECT frame_id, u, v, " + ", ".join(f"m{i} * ((u - 16::DOUBLE) * depth / 32::DOUBLE) + m{4 + i} * ((v - 12::DOUBLE) * depth / 32::DOUBLE) + m{8 + i} * depth + m{12 + i} AS {a}" for i, a in enumerate("xyz")) + " FROM pixels JOIN cams USING (frame_id) WHERE depth >= 0.5 AND depth <= 2.5",
     "surfblk": "SELECT " + ", ".join(f"floor(round_even({a} / 0.0625::DOUBLE, 0) / 8)::INT AS b{a}" for a in "xyz") + " FROM surf",
     "pblocks": _dilated("blk", 1),
     "dblocks": _dilated("surfblk", 1),
     "active": "SELECT * FROM pblocks UNION SELECT * FROM dblocks",
     "voxels": "SELECT bx, by, bz, l.local::INT AS local, (bx * 8 + l.local % 8) * 0.0625::DOUBLE AS x, (by * 8 + (l.local // 8) % 8) * 0.0625::DOUBLE AS y, (bz * 8 + l.local // 64) * 0.0625::DOUBLE AS z FROM dblocks, (SELECT unnest(range(512)) AS local) l",
-    "proj": f"SELECT *, 16::DOUBLE * (xc / zc) + 8 AS pu, 16::DOUBLE * (yc / zc) + 6 AS pv FROM (SELECT bx, by, bz, local, x, y, z, frame_id, {_local('')} FROM voxels, cams) WHERE zc > 0",
-    "inimg": "SELECT *, floor(pu - 0.5::DOUBLE)::INT AS x0, floor(pv - 0.5::DOUBLE)::INT AS y0 FROM proj WHERE pu >= 0 AND pu < 16 AND pv >= 0 AND pv < 12",
+    "proj": f"SELECT *, 32::DOUBLE * (xc / zc) + 16 AS pu, 32::DOUBLE * (yc / zc) + 12 AS pv FROM (SELECT bx, by, bz, local, x, y, z, frame_id, {_local('')} FROM voxels, cams) WHERE zc > 0",
+    "inimg": "SELECT *, floor(pu - 0.5::DOUBLE)::INT AS x0, floor(pv - 0.5::DOUBLE)::INT AS y0 FROM proj WHERE pu >= 0 AND pu < 32 AND pv >= 0 AND pv < 24",
     "taps": f"SELECT p.*, coalesce(a.depth, 0) AS d00, coalesce(b.depth, 0) AS d10, coalesce(e.depth, 0) AS d01, coalesce(f.depth, 0) AS d11, coalesce(n.depth, 0) AS near FROM inimg p {_tap('a', 'x0', 'y0')} {_tap('b', 'x0 + 1', 'y0')} {_tap('e', 'x0', 'y0 + 1')} {_tap('f', 'x0 + 1', 'y0 + 1')} {_tap('n', 'floor(pu)', 'floor(pv)')}",
-    "deep": f"""SELECT *, CASE WHEN x0 < 0 OR y0 < 0 OR x0 + 1 >= 16 OR y0 + 1 >= 12 OR least(d00, d10, d01, d11) <= 0 OR greatest(d00, d10, d01, d11) - least(d00, d10, d01, d11) > {T} THEN near
+    "deep": f"""SELECT *, CASE WHEN x0 < 0 OR y0 < 0 OR x0 + 1 >= 32 OR y0 + 1 >= 24 OR least(d00, d10, d01, d11) <= 0 OR greatest(d00, d10, d01, d11) - least(d00, d10, d01, d11) > {T} THEN near
       ELSE (d00 * (1 - (pu - 0.5::DOUBLE - x0)) + d10 * (pu - 0.5::DOUBLE - x0)) * (1 - (pv - 0.5::DOUBLE - y0)) + (d01 * (1 - (pu - 0.5::DOUBLE - x0)) + d11 * (pu - 0.5::DOUBLE - x0)) * (pv - 0.5::DOUBLE - y0) END AS d FROM taps""",
     "allobs": _OBS,
     "obs": "SELECT * EXCLUDE (far), false AS clear FROM allobs WHERE w_obs > 0",
     "dynobs": "SELECT * EXCLUDE (far), far AS clear FROM allobs WHERE far OR w_obs > 0",
-    "hued": "SELECT o.*, CASE WHEN zc > 0 AND 16::DOUBLE * (xc / zc) + 8 >= 0 AND 16::DOUBLE * (xc / zc) + 8 < 16 AND 16::DOUBLE * (yc / zc) + 6 >= 0 AND 16::DOUBLE * (yc / zc) + 6 < 12 THEN coalesce(h.color, 0) END AS color_obs FROM (SELECT obs.*, " + _local("obs.") + " FROM obs JOIN cams USING (frame_id)) o LEFT JOIN hues h ON h.frame_id = o.frame_id AND h.u = floor(16::DOUBLE * (o.xc / o.zc) + 8) AND h.v = floor(16::DOUBLE * (o.yc / o.zc) + 6)",
+    "hued": "SELECT o.*, CASE WHEN zc > 0 AND 32::DOUBLE * (xc / zc) + 16 >= 0 AND 32::DOUBLE * (xc / zc) + 16 < 32 AND 32::DOUBLE * (yc / zc) + 12 >= 0 AND 32::DOUBLE * (yc / zc) + 12 < 24 THEN coalesce(h.color, 0) END AS color_obs FROM (SELECT obs.*, " + _local("obs.") + " FROM obs JOIN cams USING (frame_id)) o LEFT JOIN hues h ON h.frame_id = o.frame_id AND h.u = floor(32::DOUBLE * (o.xc / o.zc) + 16) AND h.v = floor(32::DOUBLE * (o.yc / o.zc) + 12)",
     "fused": _fold("obs"),
     "dynamic": _fold("dynobs"),
     "colored": _fold("hued", True),
-    "dynbefore": _fold("(SELECT * FROM dynobs WHERE frame_id < 3)"),
+    "dynbefore": _fold("(SELECT * FROM dynobs WHERE frame_id < (SELECT max(frame_id) FROM cams))"),
     "lastdirty": "SELECT DISTINCT a.bx, a.by, a.bz FROM dynamic a LEFT JOIN dynbefore b USING (bx, by, bz, local) WHERE a.tsdf <> coalesce(b.tsdf, 0) OR a.weight <> coalesce(b.weight, 0)",
     "remesh": "SELECT DISTINCT d.* FROM dblocks d JOIN lastdirty l ON l.bx - d.bx IN (0, 1) AND l.by - d.by IN (0, 1) AND l.bz - d.bz IN (0, 1)",
     "samples": _samples("colored"),
@@ -157,15 +159,15 @@ CTES = {
     "densesoup": _soup("densecells", origin=("0.5", "-0.25", "0.125")),
     "ev": "SELECT CASE WHEN event_id % 3 = 0 THEN '  ..' || event_type ELSE event_type END AS stage, (event_id % 16) * 0.25::DOUBLE AS cpu_ms, (event_id % 8) * 0.125::DOUBLE AS gpu_ms, event_id % 2 = 0 AS has_gpu FROM events",
     "merged": "SELECT stage, sum(cpu_ms) AS cpu_ms, sum(CASE WHEN has_gpu THEN gpu_ms ELSE 0 END) AS gpu_ms, bool_or(has_gpu) AS has_gpu FROM ev GROUP BY stage",
-    "viewed": f"SELECT s.*, {_local('p')} FROM soup s, (SELECT * FROM cams WHERE frame_id = 2)",
-    "pix2": "SELECT *, CASE WHEN zc > 0 THEN 16::DOUBLE * (xc / zc) + 8 END AS pu, CASE WHEN zc > 0 THEN 16::DOUBLE * (yc / zc) + 6 END AS pv FROM viewed",
-    "clamped": "SELECT *, greatest(0.0::DOUBLE, least(pu, 15.0::DOUBLE)) AS cu, greatest(0.0::DOUBLE, least(pv, 11.0::DOUBLE)) AS cv FROM pix2",
+    "viewed": f"SELECT s.*, {_local('p')} FROM soup s, (SELECT * FROM cams WHERE frame_id = 0)",
+    "pix2": "SELECT *, CASE WHEN zc > 0 THEN 32::DOUBLE * (xc / zc) + 16 END AS pu, CASE WHEN zc > 0 THEN 32::DOUBLE * (yc / zc) + 12 END AS pv FROM viewed",
+    "clamped": "SELECT *, greatest(0.0::DOUBLE, least(pu, 31.0::DOUBLE)) AS cu, greatest(0.0::DOUBLE, least(pv, 23.0::DOUBLE)) AS cv FROM pix2",
 }
 
 
 def _visible() -> str:
     spots = {"a": ("x0", "y0"), "b": ("x1", "y0"), "e": ("x0", "y1"), "f": ("x1", "y1")}
-    joins = " ".join(f"LEFT JOIN pixels {n} ON {n}.frame_id = 2 AND {n}.u = q.{x} AND {n}.v = q.{y}" for n, (x, y) in spots.items())
+    joins = " ".join(f"LEFT JOIN pixels {n} ON {n}.frame_id = 0 AND {n}.u = q.{x} AND {n}.v = q.{y}" for n, (x, y) in spots.items())
     weights = {"a": "(1 - tx) * (1 - ty)", "b": "tx * (1 - ty)", "e": "(1 - tx) * ty", "f": "tx * ty"}
     taps = ", ".join(f"CASE WHEN {n}.depth > 0 THEN {n}.depth END AS d{n}, CASE WHEN {n}.depth > 0 THEN {w} END AS w{n}" for n, w in weights.items())
     order = "abef"
@@ -175,13 +177,13 @@ def _visible() -> str:
     near = f"coalesce({', '.join(f'CASE WHEN w{n} = {best} THEN d{n} END' for n in order)})"
     span = f"greatest({', '.join(f'd{n}' for n in order)}) - least({', '.join(f'd{n}' for n in order)})"
     depth = f"CASE WHEN {total} <= 0 THEN 0 WHEN {span} > 0.0625 THEN {near} ELSE (0.0::DOUBLE + {blend}) / ({total}) END"
-    return f"""SELECT *, coalesce(pu >= 1 AND pu < 15 AND pv >= 1 AND pv < 11 AND d >= 0.5 AND d <= 2.5 AND abs(d - zc) <= 0.0625, false) AS visible FROM (
+    return f"""SELECT *, coalesce(pu >= 1 AND pu < 31 AND pv >= 1 AND pv < 23 AND d >= 0.5 AND d <= 2.5 AND abs(d - zc) <= 0.0625, false) AS visible FROM (
       SELECT *, {depth} AS d FROM (SELECT q.*, {taps} FROM (
-        SELECT *, floor(cu)::INT AS x0, floor(cv)::INT AS y0, least(floor(cu) + 1, 15)::INT AS x1, least(floor(cv) + 1, 11)::INT AS y1, cu - floor(cu) AS tx, cv - floor(cv) AS ty FROM clamped) q {joins}))"""
+        SELECT *, floor(cu)::INT AS x0, floor(cv)::INT AS y0, least(floor(cu) + 1, 31)::INT AS x1, least(floor(cv) + 1, 23)::INT AS y1, cu - floor(cu) AS tx, cv - floor(cv) AS ty FROM clamped) q {joins}))"""
 
 
 CTES["seen"] = _visible()
-_UV = ", ".join(f"CASE WHEN p{p} IS NULL THEN -1.0::DOUBLE WHEN visible THEN {uv} ELSE -({uv}) - 1 END AS uv_{p}" for p, uv in (("u", "greatest(0.5::DOUBLE / 16, least(1 - 0.5::DOUBLE / 16, (pu + 0.5::DOUBLE) / 16))"), ("v", "greatest(0.5::DOUBLE / 12, least(1 - 0.5::DOUBLE / 12, (pv + 0.5::DOUBLE) / 12))")))
+_UV = ", ".join(f"CASE WHEN p{p} IS NULL THEN -1.0::DOUBLE WHEN visible THEN {uv} ELSE -({uv}) - 1 END AS uv_{p}" for p, uv in (("u", "greatest(0.5::DOUBLE / 32, least(1 - 0.5::DOUBLE / 32, (pu + 0.5::DOUBLE) / 32))"), ("v", "greatest(0.5::DOUBLE / 24, least(1 - 0.5::DOUBLE / 24, (pv + 0.5::DOUBLE) / 24))")))
 CTES["textured"] = f"SELECT cx, cy, cz, t, k, visible, {_UV} FROM seen"
 
 
@@ -227,8 +229,8 @@ def build() -> dict[str, str]:
 
     # The planes again, from the definition: the side planes of the pinhole are widened by a tenth of the focal length.
     k = camera(1)
-    sx, sy = 0.9 * 16, 0.9 * 16
-    local = [(sx, 0, 8.0, 0), (-sx, 0, 8.0, 0), (0, sy, 6.0, 0), (0, -sy, 6.0, 0), (0, 0, 1, -0.5), (0, 0, -1, 2.5)]
+    sx, sy = 0.9 * 32, 0.9 * 32
+    local = [(sx, 0, 16.0, 0), (-sx, 0, 16.0, 0), (0, sy, 12.0, 0), (0, -sy, 12.0, 0), (0, 0, 1, -0.5), (0, 0, -1, 2.5)]
     pinhole = []
     for a, b, e, d in local:
         n = [k.pose[i] * a + k.pose[4 + i] * b + k.pose[8 + i] * e for i in range(3)]
@@ -254,7 +256,7 @@ def build() -> dict[str, str]:
         "voxel_to_block": "SELECT *, bx * 8 * 0.0625::DOUBLE AS obx, by * 8 * 0.0625::DOUBLE AS oby, bz * 8 * 0.0625::DOUBLE AS obz, (bx::BIGINT & 2097151) | ((by::BIGINT & 2097151) << 21) | ((bz::BIGINT & 2097151) << 42) AS packed FROM blk",
         "spatial_hash": f"SELECT {bucket(30000)} AS bucket, count(*) AS n FROM blk GROUP BY 1",
         "unproject_pixels": "SELECT * FROM surf",
-        "project_points": f"SELECT l_orderkey, l_linenumber, frame_id, {r6('u')} AS u, {r6('v')} AS v, zc FROM (SELECT *, 16::DOUBLE * (xc / zc) + 8 AS u, 16::DOUBLE * (yc / zc) + 6 AS v FROM (SELECT l_orderkey, l_linenumber, frame_id, {_local('')} FROM points JOIN cams ON frame_id = l_orderkey % 4) WHERE zc > 0) WHERE u >= 0 AND u < 16 AND v >= 0 AND v < 12",
+        "project_points": f"SELECT l_orderkey, l_linenumber, frame_id, {r6('u')} AS u, {r6('v')} AS v, zc FROM (SELECT *, 32::DOUBLE * (xc / zc) + 16 AS u, 32::DOUBLE * (yc / zc) + 12 AS v FROM (SELECT l_orderkey, l_linenumber, frame_id, {_local('')} FROM points JOIN cams ON frame_id = l_orderkey // 4096) WHERE zc > 0) WHERE u >= 0 AND u < 32 AND v >= 0 AND v < 24",
         "srgb_roundtrip": f"SELECT p_partkey, {_packed('r', 'g', 'b')} AS again, {r6('r')} AS r, {r6('g')} AS g, {r6('b')} AS b FROM (SELECT p_partkey, {lin[0]} AS r, {lin[1]} AS g, {lin[2]} AS b FROM {part})",
         "to_canonical": f"SELECT p_partkey, packed | 4278190080 AS canonical, {_packed(*raw)} AS from_linear FROM {part}",
         "primaries_rotate": f"SELECT p_partkey, {_packed(*turned(p3))} AS from_p3, {_packed(*turned(b2020))} AS from_2020 FROM (SELECT p_partkey, {lin[0]} AS r, {lin[1]} AS g, {lin[2]} AS b FROM {part})",
@@ -294,6 +296,9 @@ def build() -> dict[str, str]:
         "mc_block_spans": "SELECT bx, by, bz, triangle_base, triangle_count, triangle_base * 3 AS vertex_base, triangle_count * 3 AS vertex_count FROM (SELECT *, (sum(triangle_count) OVER (ORDER BY bx, by, bz) - triangle_count)::BIGINT AS triangle_base FROM (SELECT floor(cx / 8::DOUBLE)::INT AS bx, floor(cy / 8::DOUBLE)::INT AS by, floor(cz / 8::DOUBLE)::INT AS bz, count(*) AS triangle_count FROM cells JOIN tri ON tri.cube_index = cells.cube_index GROUP BY ALL))",
         "mc_shared_vertices": "SELECT DISTINCT " + ", ".join([*(f"CASE WHEN alone THEN c{a} ELSE o{a} END AS v{a}" for a in "xyz"), "axis", "CASE WHEN alone THEN t ELSE -1 END AS own_t", "CASE WHEN alone THEN k ELSE -1 END AS own_k", *(f"{r6(f'p{a}')} AS p{a}" for a in "xyz"), *(f"{r6(f'CASE WHEN alone THEN n{a} ELSE m{a} END')} AS n{a}" for a in "xyz")]) + " FROM owned",
         "ply_columns": f"SELECT cx, cy, cz, t, k, {_byte('r')}::INT AS red, {_byte('g')}::INT AS green, {_byte('b')}::INT AS blue FROM densesoup",
+        "scene_depth_images": "SELECT f.frame_id, u.u::INT AS u, v.v::INT AS v, coalesce(p.depth, 0)::DOUBLE AS depth FROM (SELECT DISTINCT frame_id FROM pixels WHERE frame_id % 2 = 0) f, (SELECT unnest(range(32)) AS u) u, (SELECT unnest(range(24)) AS v) v LEFT JOIN pixels p ON p.frame_id = f.frame_id AND p.u = u.u AND p.v = v.v",
+        "scene_color_images": f"SELECT *, {', '.join(f'{_chan('color', i)}::INT AS {n}' for i, n in enumerate(('red', 'green', 'blue')))}, 255::INT AS alpha FROM (SELECT f.frame_id, u.u::INT AS u, v.v::INT AS v, coalesce(p.color, 0)::BIGINT AS color FROM (SELECT DISTINCT frame_id FROM hues) f, (SELECT unnest(range(32)) AS u) u, (SELECT unnest(range(24)) AS v) v LEFT JOIN hues p ON p.frame_id = f.frame_id AND p.u = u.u AND p.v = v.v)",
+        "newest_frames": "SELECT user_id AS source, max(event_id) AS frame_id FROM events GROUP BY user_id",
         "timestamp_delta": "SELECT event_id, (event_id * 7919 - event_id * 104729) & 65535 AS ticks, ((event_id * 7919 - event_id * 104729) & 65535) * 41.5::DOUBLE / 1000000::DOUBLE AS ms FROM events",
         "texture_project": f"SELECT cx, cy, cz, t, k, {r6('uv_u')} AS uv_u, {r6('uv_v')} AS uv_v FROM textured",
         "texture_visibility": "SELECT visible, uv_u = -1 AS behind, count(*) AS n FROM textured GROUP BY ALL",
