@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import camera
-from tessera.operators.tsdf import tap, with_tiles
-from tessera.operators.volume import held, is_small
+from tessera.operators.tsdf import FrameFacts, tap, with_tiles
+from tessera.operators.volume import held
 
 
-def with_surface_depth(rows: DataFrame, pixels: DataFrame, cameras: DataFrame, threshold: float) -> DataFrame:
+def with_surface_depth(rows: DataFrame, pixels: DataFrame, cameras: DataFrame, facts: FrameFacts, threshold: float) -> DataFrame:
     """Adds _d, the depth at (_u, _v) with pixel centres at whole numbers: empty taps drop out, a jump takes the heaviest tap, no tap gives 0."""
     c = F.col
     w, h = c("width"), c("height")
     at = held(rows, cu=F.greatest(F.lit(0.0), F.least("_u", w - 1.0)), cv=F.greatest(F.lit(0.0), F.least("_v", h - 1.0)))
     at = held(at, x0=F.floor("cu").cast("int"), y0=F.floor("cv").cast("int"), wx=c("cu") - F.floor("cu"), wy=c("cv") - F.floor("cv"))
-    at = with_tiles(at, pixels, cameras)
+    at = with_tiles(at, pixels, cameras, facts)
     x1, y1, px, py = F.least(c("x0") + 1, w - 1), F.least(c("y0") + 1, h - 1), c("wx"), c("wy")
     spots = [(c("x0"), c("y0"), (1 - px) * (1 - py)), (x1, c("y0"), px * (1 - py)), (c("x0"), y1, (1 - px) * py), (x1, y1, px * py)]
     taps = held(at, **{f"t{i}": tap(x, y) for i, (x, y, _) in enumerate(spots)}, **{f"k{i}": k for i, (_, _, k) in enumerate(spots)})
@@ -33,14 +33,15 @@ def texture(mesh: DataFrame, pixels: DataFrame, cameras: DataFrame, frame_id: in
     """The vertices with uv_u, uv_v rewritten from one frame: uv if visible, -uv - 1 if only in front, (-1, -1) otherwise."""
     chosen = cameras.where(F.col("frame_id") == frame_id)
     own = ("fx", "fy", "cx", "cy")  # a mesh has columns of these names
+    facts = FrameFacts.of(chosen)
     frame = chosen.withColumnsRenamed({n: f"lens_{n}" for n in own})
     keep = [c for c in mesh.columns if c not in ("uv_u", "uv_v")]
-    joined = mesh.select(*keep).withColumn("frame_id", F.lit(frame_id).cast(dict(cameras.dtypes)["frame_id"])).join(F.broadcast(frame) if is_small(frame) else frame, "frame_id")
+    joined = mesh.select(*keep).withColumn("frame_id", F.lit(frame_id).cast(dict(cameras.dtypes)["frame_id"])).join(facts.send(frame), "frame_id")
     c = F.col
     u, v, zc = camera.project(c("px"), c("py"), c("pz"), lambda n: c(f"lens_{n}" if n in own else n))
     placed = held(joined, _u=u, _v=v, _z=zc)
     inset = (c("_u") >= 1) & (c("_u") < c("width") - 1) & (c("_v") >= 1) & (c("_v") < c("height") - 1)
-    seen = with_surface_depth(placed, pixels.where(F.col("frame_id") == frame_id), chosen, threshold)
+    seen = with_surface_depth(placed, pixels.where(F.col("frame_id") == frame_id), chosen, facts, threshold)
     visible = F.coalesce(inset & (c("_d") >= c("min_depth")) & (c("_d") <= c("max_depth")) & (F.abs(c("_d") - c("_z")) <= threshold), F.lit(False))
     out = []
     for name, p, size in (("uv_u", "_u", "width"), ("uv_v", "_v", "height")):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import camera, color, coords
-from tessera.operators.volume import KEY, Snapshot, held, is_small
+from tessera.operators.volume import KEY, SMALL_ROWS, Snapshot, held
 from tessera.params import GridParams, ParameterError, is_canonical
 
 VOXEL = (*KEY, "local")
@@ -20,6 +20,24 @@ TILE = 64
 BROADCAST_CELLS = 4_000_000
 
 
+@dataclass(frozen=True)
+class FrameFacts:
+    """What plans need to know of a camera table: whether it is small, the cells of all its images, its farthest depth."""
+
+    small: bool
+    cells: int
+    reach: float
+
+    @staticmethod
+    def of(cameras: DataFrame) -> FrameFacts:
+        far = F.max("max_depth") if "max_depth" in cameras.columns else F.lit(None).cast("double")
+        n, cells, reach = cameras.agg(F.count("*"), F.sum(F.col("width").cast("long") * F.col("height")), far).first()
+        return FrameFacts(n <= SMALL_ROWS, cells or 0, reach or 0.0)
+
+    def send(self, cameras: DataFrame) -> DataFrame:
+        return F.broadcast(cameras) if self.small else cameras
+
+
 def voxels(blocks: DataFrame, g: GridParams, *keep: str) -> DataFrame:
     """One row per voxel with its world position (x, y, z) and the columns `keep`."""
     out = blocks.select(*keep, *KEY, F.explode(F.sequence(F.lit(0), F.lit(g.voxels_per_block - 1))).alias("local"))
@@ -27,11 +45,11 @@ def voxels(blocks: DataFrame, g: GridParams, *keep: str) -> DataFrame:
     return out.select(*keep, *VOXEL, *[coords.voxel_to_world(F.col(k) * g.block_size + p, g).alias(a) for a, k, p in zip(coords.AXES, KEY, parts, strict=True)])
 
 
-def tiles(pixels: DataFrame, cameras: DataFrame, value: str = "depth") -> DataFrame:
+def tiles(pixels: DataFrame, cameras: DataFrame, facts: FrameFacts, value: str = "depth") -> DataFrame:
     """(frame_id, tile_x, tile_y, img): row-major tiles of TILE + 1 pixels a side with a pixel inside the image; other pixels are 0, and of repeated ones the largest counts."""
     side = TILE + 1
     sizes = cameras.select("frame_id", "width", "height")
-    inside = pixels.join(F.broadcast(sizes) if is_small(sizes) else sizes, "frame_id").where("u >= 0 and v >= 0 and u < width and v < height")
+    inside = pixels.join(facts.send(sizes), "frame_id").where("u >= 0 and v >= 0 and u < width and v < height")
     given = inside.groupBy("frame_id", "u", "v").agg(F.max(value).alias("value"))
     # A pixel on the first column or row of a tile is also the last of the tile before.
     def tiles_of(p: str) -> Column:
@@ -49,12 +67,11 @@ def tiles(pixels: DataFrame, cameras: DataFrame, value: str = "depth") -> DataFr
     return listed.select("frame_id", "tile_x", "tile_y", F.concat(F.flatten(start), gap(F.lit(side * side - 1) - last)).alias("img"))
 
 
-def with_tiles(rows: DataFrame, pixels: DataFrame, cameras: DataFrame, value: str = "depth") -> DataFrame:
+def with_tiles(rows: DataFrame, pixels: DataFrame, cameras: DataFrame, facts: FrameFacts, value: str = "depth") -> DataFrame:
     """Adds img, the tile of the frame that holds pixel (x0, y0), or null where it is all 0, and its place tile_x, tile_y."""
-    of = tiles(pixels, cameras, value)
-    cells = cameras.agg(F.sum(F.col("width").cast("long") * F.col("height"))).first()[0] or 0
+    of = tiles(pixels, cameras, facts, value)
     at = held(rows, tile_x=F.floor(F.col("x0") / TILE).cast("int"), tile_y=F.floor(F.col("y0") / TILE).cast("int"))
-    return at.join(F.broadcast(of) if cells <= BROADCAST_CELLS else of, ["frame_id", "tile_x", "tile_y"], "left")
+    return at.join(F.broadcast(of) if facts.cells <= BROADCAST_CELLS else of, ["frame_id", "tile_x", "tile_y"], "left")
 
 
 def tap(x: Column, y: Column) -> Column:
@@ -77,15 +94,15 @@ def with_depth(rows: DataFrame, g: GridParams) -> DataFrame:
     return held(taps, d=F.when(ok, top * (1 - c("wy")) + under * c("wy")).otherwise(c("near"))).drop("x0", "y0", "wx", "wy", "near", "tile_x", "tile_y", *names)
 
 
-def seeing(blocks: DataFrame, cameras: DataFrame, g: GridParams) -> DataFrame:
+def seeing(blocks: DataFrame, cameras: DataFrame, g: GridParams, facts: FrameFacts | None = None) -> DataFrame:
     """(frame_id, block): the frames that may see a voxel of the block, by their view cones up to the depth range and the truncation distance.
 
     Cones are first dealt to coarse cells of many blocks, so blocks meet frames by cell and no block meets a frame
     that looks elsewhere; then each block's box is held against the cone's planes.
     """
     c, edge = F.col, g.edge
-    reach = cameras.agg(F.max("max_depth")).first()[0] or 0.0
-    per = max(16, math.ceil((reach + g.trunc_dist) / (8 * edge)))  # blocks a coarse cell; a cone has some thousand cells at most
+    facts = facts or FrameFacts.of(cameras)
+    per = max(16, math.ceil((facts.reach + g.trunc_dist) / (8 * edge)))  # blocks a coarse cell; a cone has some thousand cells at most
     far = c("max_depth") + g.trunc_dist
     turn = lambda a, b, k: [camera.at(c("pose"), i) * a + camera.at(c("pose"), 4 + i) * b + camera.at(c("pose"), 8 + i) * k for i in range(3)]
     zero, one = F.lit(0.0), F.lit(1.0)
@@ -122,11 +139,12 @@ def observations(blocks: DataFrame, pixels: DataFrame, cameras: DataFrame, g: Gr
     if mode not in MODES:
         raise ParameterError("mode is classic or dynamic")
     c, t = F.col, g.trunc_dist
-    seen = voxels(seeing(blocks, cameras, g), g, "frame_id").join(F.broadcast(cameras) if is_small(cameras) else cameras, "frame_id")
+    facts = FrameFacts.of(cameras)
+    seen = voxels(seeing(blocks, cameras, g, facts), g, "frame_id").join(facts.send(cameras), "frame_id")
     u, v, zc = camera.project(c("x"), c("y"), c("z"), c)
     near = held(seen, pu=u, pv=v, zc=zc).where(camera.in_image(c("pu"), c("pv"), c))
     low = held(near, x0=F.floor(c("pu") - 0.5).cast("int"), y0=F.floor(c("pv") - 0.5).cast("int"))
-    deep = with_depth(with_tiles(low, pixels, cameras), g).drop("img").where(~F.isnan("d") & (c("d") >= c("min_depth")) & (c("d") <= c("max_depth")))
+    deep = with_depth(with_tiles(low, pixels, cameras, facts), g).drop("img").where(~F.isnan("d") & (c("d") >= c("min_depth")) & (c("d") <= c("max_depth")))
     raw = deep.withColumn("raw", c("d") - c("zc")).where(c("raw") >= -t)
     weight = F.when(c("zc") > 0.01, 1.0 / (c("zc") * c("zc"))).otherwise(1.0) * F.when(c("zc") > c("d"), (t - (c("zc") - c("d"))) / t).otherwise(1.0)
     out = raw.select(*VOXEL, "frame_id", "x", "y", "z", "zc", c("d").alias("depth"), F.least(F.lit(t), c("raw")).alias("sdf"), weight.alias("w_obs"), ((c("raw") > t) if mode == "dynamic" else F.lit(False)).alias("clear"))
@@ -138,12 +156,13 @@ def observed_colors(seen: DataFrame, color_pixels: DataFrame, color_cameras: Dat
     c = F.col
     own = ("fx", "fy", "cx", "cy", "width", "height", "pose")
     lens = color_cameras.select("frame_id", *own)
-    joined = seen.join(F.broadcast(lens) if is_small(lens) else lens, "frame_id", "left")
+    facts = FrameFacts.of(color_cameras)
+    joined = seen.join(facts.send(lens), "frame_id", "left")
     u, v, _ = camera.project(c("x"), c("y"), c("z"), c)
     both = held(joined, cu=u, cv=v)
     inside = camera.in_image(c("cu"), c("cv"), c)
     at = held(both, x0=F.when(inside, F.floor("cu")).cast("int"), y0=F.when(inside, F.floor("cv")).cast("int"))
-    shown = with_tiles(at, color_pixels, color_cameras, "color")
+    shown = with_tiles(at, color_pixels, color_cameras, facts, "color")
     return shown.withColumn("color_obs", tap(c("x0"), c("y0"))).drop(*own, "cu", "cv", "x0", "y0", "tile_x", "tile_y", "img")
 
 
@@ -163,7 +182,8 @@ def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFra
     t = g.trunc_dist
     colored = "color_obs" in seen.columns
     shade = F.col("color_obs") if colored else F.lit(None).cast("long")
-    per = seen.groupBy(*VOXEL).agg(F.array_sort(F.collect_list(F.struct("frame_id", "sdf", "w_obs", "clear", shade.alias("c")))).alias("obs"))
+    # One exchange by block serves the fold and what follows: blocks are whole in a task, so cells are put together before they are dealt out.
+    per = seen.repartition(*KEY).groupBy(*VOXEL).agg(F.array_sort(F.collect_list(F.struct("frame_id", "sdf", "w_obs", "clear", shade.alias("c")))).alias("obs"))
     if start is not None:
         per = per.join(start.select(*VOXEL, F.struct(F.col("tsdf").alias("s"), F.col("weight").alias("w"), F.coalesce("color", F.lit(0)).cast("long").alias("c"), F.lit(False).alias("ch")).alias("st")), list(VOXEL), "full")
         per = per.withColumn("obs", F.coalesce("obs", F.array().cast(dict(per.dtypes)["obs"])))
