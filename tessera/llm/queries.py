@@ -133,6 +133,12 @@ FROM m JOIN n ON n.id = item_id WHERE shared >= ceil(n * 0.8 - 1e-9)
 """
 
 
+#: The strings that templates of public models use as control marks.
+CONTROL_LIST = """
+  '<|turn|>', '<|says|>', '<|end|>', '<|endoftext|>', '<|startoftext|>', '<|im_start|>', '<|im_end|>', '<|begin_of_text|>', '<|eot_id|>',
+  '<|start_header_id|>', '<|end_header_id|>', '<|system|>', '<|user|>', '<|assistant|>', '<s>', '</s>', '<unk>', '<pad>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>',
+  '<start_of_turn>', '<end_of_turn>', '<bos>', '<eos>'"""
+
 #: The digests follow from the turns alone; formatted_chars counts three marks a turn and the marks of escapes.
 OP6 = """
 WITH c AS (
@@ -150,4 +156,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, r0, t0), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
 FROM l GROUP BY conv_id
-""".replace("CONTROL_LIST", ", ".join(f"'{k}'" for k in chat.CONTROLS))
+""".replace("CONTROL_LIST", CONTROL_LIST)

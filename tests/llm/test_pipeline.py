@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_simhash import slow_components, slow_fingerprint
 from tests.llm.test_substrings import slow
@@ -69,3 +71,19 @@ def test_empty_documents(spark, tmp_path):
 
 def test_slow_is_itself():
     assert slow([(1, "ab" * 60), (2, None)], 100)[0][0] == 1
+
+
+def test_null_ids_repeats_and_ties(spark, tmp_path):
+    """Rows without an id stay apart by their texts, equal rows leave one, rows of one id go their own ways."""
+    rnd = random.Random(6)
+    text = lambda: " ".join("".join(rnd.choice("etaoinshrdlucm") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, None), (1, c), (1, c), (2, d), (2, e), (2, ""), (3, d), (None, a)]
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, text()), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") == 1, "en").otherwise(F.lit("de")))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, folder).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str) == sorted([(None, a), (None, b), (1, c), (2, d), (2, e)], key=str)

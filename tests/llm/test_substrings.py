@@ -49,3 +49,26 @@ def test_empty_table(spark):
 def test_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert fast(df, shard_bytes=100_000) == slow([(r["doc_id"], r["text"]) for r in df.collect()], 100)
+
+
+def test_many_rows_of_an_id_and_other_ids(spark, monkeypatch):
+    """Rows of one id are spread over shards in the order of their texts; ids of any type are ordered."""
+    monkeypatch.setattr(substrings, "ID_ROWS", 3)
+    rnd = random.Random(8)
+    pool = ["".join(rnd.choice("abcdefgh") for _ in range(40)) for _ in range(6)]
+    rows = [(rnd.choice([None, 4, 4, 4, 9, i]), "".join(rnd.choice(pool) + rnd.choice("xyz") for _ in range(rnd.randint(0, 4)))) for i in range(70)]
+    rows += rows[:9]
+    assert fast(spark.createDataFrame(rows, "doc_id long, text string"), length=20, gram=6, shard_bytes=300) == slow(rows, 20)
+    named = [(f"n{i:03d}", t) for i, (_, t) in enumerate(rows)]
+    want = {f"n{i:03d}": (n, s) for i, _, n, s, _ in slow([(i, t) for i, (_, t) in enumerate(rows)], 20)}
+    got = substrings.repeated(spark.createDataFrame(named, "doc_id string, text string"), length=20, gram=6, shard_bytes=300)
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got.collect()} == want
+
+
+def test_one_line_in_every_document(spark, monkeypatch):
+    """A line between different neighbours: its minimizers are crowded, and so are the cores that end in a neighbour."""
+    monkeypatch.setattr(substrings, "CROWD", 20)
+    rnd = random.Random(2)
+    line = "".join(rnd.choice("abcdefghij ") for _ in range(90))
+    rows = [(i, "".join(rnd.choice("klmnop") for _ in range(30)) + line + "".join(rnd.choice("klmnop") for _ in range(30))) for i in range(150)]
+    assert fast(spark.createDataFrame(rows, "doc_id long, text string"), length=40, gram=12, shard_bytes=4000) == slow(rows, 40)
