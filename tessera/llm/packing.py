@@ -152,8 +152,9 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return {n: tuple(np.array(v, dtype=np.int64) for v in zip(*runs, strict=True)) for n, runs in out.items()}
 
 
-#: Pieces of one length that are ranked in one group.
+#: Pieces of one length that are ranked in one group at most, and the groups that a length has at most for being shorter than that.
 RANKED = 50_000
+SPREAD = 256
 
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = MAX_TOKENS, doc_id: str = "doc_id", text: str = "text", ranked: int = RANKED) -> DataFrame:
@@ -161,16 +162,18 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = MAX_TOKENS, doc_id: str =
 
     Each document is its ids and an end id, cut at every `limit` tokens; a null text is empty and still has its
     end id. Pieces are ranked within their length by a hash group and then by id; a length has a group for every
-    `ranked` pieces, so no length, however common, is ranked in one task, and neither are null or repeated ids.
-    Repeated rows are documents of their own. Only the histogram (by length and group, a number for every `ranked`
-    pieces) and the patterns, bounded by `limit`, reach the driver. An empty table gives none.
+    `ranked` pieces, or up to SPREAD smaller ones, so no length, however common, is ranked in one task, and neither
+    are null or repeated ids. Repeated rows are documents of their own. Only the histogram (by length and group: a
+    number for every `ranked` pieces, and SPREAD a length at most) and the patterns, bounded by `limit`, reach the
+    driver. An empty table gives none.
     """
     from tessera.llm.components import saved
 
     pieces = saved(cut(docs, tokenizer, limit, doc_id, text))
     lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).toArrow().to_pydict()
     groups = np.ones(limit + 1, dtype=np.int64)
-    groups[lengths["length"]] = -(-np.array(lengths["n"], dtype=np.int64) // ranked)
+    n = np.array(lengths["n"], dtype=np.int64)
+    groups[lengths["length"]] = np.maximum(-(-n // ranked), np.minimum(-(-n // 64), SPREAD))
     # The pieces are read back from where they were written, so their numbers are the same every time.
     number = F.xxhash64("doc_id", "start", F.monotonically_increasing_id())
     grouped = pieces.withColumn("grp", F.pmod(number, F.get(F.lit(groups.tolist()), F.col("length").cast("int"))).cast("int"))
