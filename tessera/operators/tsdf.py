@@ -80,30 +80,19 @@ def tap(x: Column, y: Column) -> Column:
     return F.when(inside, F.coalesce(F.get("img", ((y - F.col("tile_y") * TILE) * (TILE + 1) + x - F.col("tile_x") * TILE).cast("int")), F.lit(0)))
 
 
-def with_depth(rows: DataFrame, g: GridParams) -> DataFrame:
-    """Adds d, the depth at (pu, pv) in the tile of pixel (x0, y0): bilinear with pixel centres at halves; the containing pixel where a tap is
-    outside, empty or not finite, or the taps jump."""
-    c = F.col
-    names = ["d00", "d10", "d01", "d11"]
-    taps = held(rows, wx=c("pu") - 0.5 - c("x0"), wy=c("pv") - 0.5 - c("y0"), near=tap(F.floor("pu").cast("int"), F.floor("pv").cast("int")), **{f"d{i}{j}": tap(c("x0") + i, c("y0") + j) for j in (0, 1) for i in (0, 1)})
-    flat = [c(n) for n in names]
-    ok = coords.finite(*flat) & (F.least(*flat) > 0) & (F.greatest(*flat) - F.least(*flat) <= g.trunc_dist)
-    for n in flat:
-        ok = n.isNotNull() & ok
-    top, under = flat[0] * (1 - c("wx")) + flat[1] * c("wx"), flat[2] * (1 - c("wx")) + flat[3] * c("wx")
-    return held(taps, d=F.when(ok, top * (1 - c("wy")) + under * c("wy")).otherwise(c("near"))).drop("x0", "y0", "wx", "wy", "near", "tile_x", "tile_y", *names)
-
-
 def seeing(blocks: DataFrame, cameras: DataFrame, g: GridParams, facts: FrameFacts | None = None) -> DataFrame:
-    """(frame_id, block): the frames that may see a voxel of the block, by their view cones up to the depth range and the truncation distance.
+    """(frame_id, block): the frames that may see a voxel of the block, by their view cones up to the depth range, or
+    to column `far` if the cameras have it, and the truncation distance.
 
-    Cones are first dealt to coarse cells of many blocks, so blocks meet frames by cell and no block meets a frame
-    that looks elsewhere; then each block's box is held against the cone's planes.
+    Cones are first dealt to coarse cells, so blocks meet frames by cell and no block meets a frame that looks
+    elsewhere; then each block's box is held against the cone's planes. A cell is a quarter of the farthest depth:
+    larger ones would let a block meet all frames in a cell, and these grow with the square of its edge.
     """
     c, edge = F.col, g.edge
     facts = facts or FrameFacts.of(cameras)
-    per = max(16, math.ceil((facts.reach + g.trunc_dist) / (8 * edge)))  # blocks a coarse cell; a cone has some thousand cells at most
-    far = c("max_depth") + g.trunc_dist
+    per = max(1, math.ceil((facts.reach + g.trunc_dist) / (4 * edge)))  # blocks along a coarse cell
+    far = c("far" if "far" in cameras.columns else "max_depth") + g.trunc_dist
+    cameras = cameras.repartition(int(cameras.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame_id")
     turn = lambda a, b, k: [camera.at(c("pose"), i) * a + camera.at(c("pose"), 4 + i) * b + camera.at(c("pose"), 8 + i) * k for i in range(3)]
     zero, one = F.lit(0.0), F.lit(1.0)
     planes = []
@@ -130,40 +119,175 @@ def seeing(blocks: DataFrame, cameras: DataFrame, g: GridParams, facts: FrameFac
     return met(pairs, {k: c(k).cast("double") * edge - g.voxel_size for k in KEY}, edge + g.voxel_size).select("frame_id", *KEY)
 
 
+def deepest(pixels: DataFrame, cameras: DataFrame, facts: FrameFacts) -> DataFrame:
+    """The cameras with `far`: no depth of the frame that is in range is beyond it. NaN counts as largest, a missing pixel as 0."""
+    most = pixels.groupBy("frame_id").agg(F.max("depth").alias("_most"))
+    far = F.least("max_depth", F.greatest(F.lit(0.0), F.col("_most")))
+    return cameras.join(F.broadcast(most) if facts.small else most, "frame_id", "left").withColumn("far", far).drop("_most")
+
+
+#: What a projection needs of a camera, and its pose's numbers as columns.
+LENS = ("fx", "fy", "cx", "cy", "width", "height")
+_POSE = tuple(f"_m{i}" for i in range(15))
+
+
+def _lenses(cameras: DataFrame, *more: str) -> DataFrame:
+    """Cameras as doubles alone: the lens, columns `more` and the pose's 15 numbers in use."""
+    return cameras.select("frame_id", *[F.col(n).cast("double").alias(n) for n in (*LENS, *more)], *[camera.at(F.col("pose"), i).cast("double").alias(m) for i, m in enumerate(_POSE)])
+
+
+def _numbers(table, *names: str) -> list:
+    """Columns as float arrays; null is NaN, which no test lets pass."""
+    import numpy as np
+
+    return [np.asarray(table.column(n).to_numpy(zero_copy_only=False), dtype=np.float64) for n in names]
+
+
+def _project(x, y, z, lens: dict):
+    """camera.project in numpy, operation by operation, and whether the place is in the image."""
+    import numpy as np
+
+    m = [lens[n] for n in _POSE]
+    dx, dy, dz = x - m[12], y - m[13], z - m[14]
+    xc, yc, zc = (m[4 * k] * dx + m[4 * k + 1] * dy + m[4 * k + 2] * dz for k in range(3))
+    with np.errstate(all="ignore"):
+        u, v = lens["fx"] * (xc / zc) + lens["cx"], lens["fy"] * (yc / zc) + lens["cy"]
+        return u, v, zc, (zc > 0) & (u >= 0) & (u < lens["width"]) & (v >= 0) & (v < lens["height"])
+
+
+def _image(table, value: str, width: float, height: float):
+    """The pixels of one frame as an array up to the last one given; others are 0, and of repeated ones the largest counts, NaN above all."""
+    import numpy as np
+
+    u, v, x = (table.column(n).to_numpy() for n in ("u", "v", value)) if table.num_rows else (np.zeros(0, dtype=np.int64),) * 3
+    inside = (u >= 0) & (v >= 0) & (u < width) & (v < height)
+    u, v, x = u[inside], v[inside], x[inside]
+    out = np.zeros((int(v.max()) + 1, int(u.max()) + 1) if len(u) else (0, 0), dtype=x.dtype)
+    order = np.argsort(x, kind="stable")
+    out[v[order], u[order]] = x[order]
+    return out
+
+
+def _tap(image, x, y):
+    """Image values at whole places inside the image; 0 beyond the last pixel given."""
+    import numpy as np
+
+    held = (x < image.shape[1]) & (y < image.shape[0])
+    out = np.zeros(len(x), dtype=image.dtype)
+    out[held] = image[y[held], x[held]]
+    return out
+
+
+def _depth_at(image, u, v, width, height, t: float):
+    """Bilinear depth with pixel centres at halves; the containing pixel where a tap is outside, empty or not finite, or the taps jump."""
+    import numpy as np
+
+    d = _tap(image, np.floor(u).astype(np.int64), np.floor(v).astype(np.int64))
+    x, y = np.floor(u - 0.5).astype(np.int64), np.floor(v - 0.5).astype(np.int64)
+    i = np.flatnonzero((x >= 0) & (y >= 0) & (x + 1 < width) & (y + 1 < height))
+    x, y, wx, wy = x[i], y[i], u[i] - 0.5 - x[i], v[i] - 0.5 - y[i]
+    d00, d10, d01, d11 = (_tap(image, x + a, y + b) for b in (0, 1) for a in (0, 1))
+    four = np.stack([d00, d10, d01, d11])
+    with np.errstate(all="ignore"):
+        low, high = four.min(axis=0), four.max(axis=0)
+        ok = np.isfinite(four).all(axis=0) & (low > 0) & (high - low <= t)
+        top, under = d00 * (1 - wx) + d10 * wx, d01 * (1 - wx) + d11 * wx
+        d[i[ok]] = (top * (1 - wy) + under * wy)[ok]
+    return d
+
+
+def _given(pixels: DataFrame, value: str) -> DataFrame:
+    """Pixels by frame, without those that say nothing."""
+    return pixels.select("frame_id", "u", "v", value).dropna(subset=["u", "v", value])
+
+
+def _shape(*fields: tuple[str, str]) -> tuple[str, object]:
+    """A schema for Spark and for Arrow."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = ", ".join(f"`{n}` {kind}" for n, kind in fields)
+    return ddl, to_arrow_schema(StructType.fromDDL(ddl))
+
+
+#: Blocks whose voxels are held as arrays at once.
+AT_ONCE = 256
+
+
 def observations(blocks: DataFrame, pixels: DataFrame, cameras: DataFrame, g: GridParams, mode: str = "classic") -> DataFrame:
     """(voxel, frame_id, x, y, z, zc, depth, sdf, w_obs, clear): what each frame says of each active voxel.
 
     Voxels behind the camera, outside the image, without a depth in range or well behind the surface say nothing.
-    Before the surface, classic mode clamps and dynamic mode clears.
+    Before the surface, classic mode clamps and dynamic mode clears. A frame's blocks and pixels meet in one exchange,
+    and its voxels are looked at as arrays, some blocks at a time: as generated code the same steps are a method too
+    long for the JVM to compile, and their rows would copy the image they are held against.
     """
     if mode not in MODES:
         raise ParameterError("mode is classic or dynamic")
-    c, t = F.col, g.trunc_dist
-    facts = FrameFacts.of(cameras)
-    seen = voxels(seeing(blocks, cameras, g, facts), g, "frame_id").join(facts.send(cameras), "frame_id")
-    u, v, zc = camera.project(c("x"), c("y"), c("z"), c)
-    near = held(seen, pu=u, pv=v, zc=zc).where(camera.in_image(c("pu"), c("pv"), c))
-    low = held(near, x0=F.floor(c("pu") - 0.5).cast("int"), y0=F.floor(c("pv") - 0.5).cast("int"))
-    deep = with_depth(with_tiles(low, pixels, cameras, facts), g).drop("img").where(~F.isnan("d") & (c("d") >= c("min_depth")) & (c("d") <= c("max_depth")))
-    raw = deep.withColumn("raw", c("d") - c("zc")).where(c("raw") >= -t)
-    weight = F.when(c("zc") > 0.01, 1.0 / (c("zc") * c("zc"))).otherwise(1.0) * F.when(c("zc") > c("d"), (t - (c("zc") - c("d"))) / t).otherwise(1.0)
-    out = raw.select(*VOXEL, "frame_id", "x", "y", "z", "zc", c("d").alias("depth"), F.least(F.lit(t), c("raw")).alias("sdf"), weight.alias("w_obs"), ((c("raw") > t) if mode == "dynamic" else F.lit(False)).alias("clear"))
-    return out.where(c("clear") | (c("w_obs") > 0))
+    t, facts, numbers = g.trunc_dist, FrameFacts.of(cameras), (*LENS, "min_depth", "max_depth", *_POSE)
+    pairs = seeing(blocks, deepest(pixels, cameras, facts), g, facts).join(facts.send(_lenses(cameras, "min_depth", "max_depth")), "frame_id")
+    kinds = dict(pairs.dtypes)
+    doubles = ("x", "y", "z", "zc", "depth", "sdf", "w_obs")
+    ddl, shape = _shape(*[(k, kinds[k]) for k in KEY], ("local", "int"), ("frame_id", kinds["frame_id"]), *[(n, "double") for n in doubles], ("clear", "boolean"))
+    side, count, pitch, dynamic = g.block_size, g.voxels_per_block, g.voxel_size, mode == "dynamic"
+
+    def look(pairs, pixels):
+        import numpy as np
+        import pyarrow as pa
+
+        if not pairs.num_rows:
+            return shape.empty_table()
+        image = _image(pixels, "depth", *(np.nanmax(v) for v in _numbers(pairs, "width", "height"))).astype(np.float64, copy=False)
+        local, made = np.arange(count), []
+        parts = local % side, local // side % side, local // (side * side)
+        for at in range(0, pairs.num_rows, AT_ONCE):
+            some = pairs.slice(at, AT_ONCE).combine_chunks()
+            lens = {n: v[:, None] for n, v in zip(numbers, _numbers(some, *numbers), strict=True)}
+            place = [(some.column(k).to_numpy().astype(np.int64)[:, None] * side + p).astype(np.float64) * pitch for k, p in zip(KEY, parts, strict=True)]
+            u, v, zc, inside = _project(*place, lens)
+            row, voxel = np.nonzero(inside)
+            u, v, zc = u[inside], v[inside], zc[inside]
+            width, height, least, most = (lens[n][row, 0] for n in ("width", "height", "min_depth", "max_depth"))
+            d = _depth_at(image, u, v, width, height, t)
+            with np.errstate(all="ignore"):
+                raw = d - zc
+                weight = np.where(zc > 0.01, 1.0 / (zc * zc), 1.0) * np.where(zc > d, (t - (zc - d)) / t, 1.0)
+                clear = (raw > t) & dynamic
+                keep = np.flatnonzero((d >= least) & (d <= most) & (raw >= -t) & (clear | (weight > 0)))
+            row, voxel = row[keep], voxel[keep]
+            given = some.select([*KEY, "frame_id"]).take(pa.array(row))
+            values = [*(p[row, voxel] for p in place), *(x[keep] for x in (zc, d, np.minimum(t, raw), weight, clear))]
+            made.append(pa.table([*(given.column(k) for k in KEY), pa.array(voxel.astype(np.int32)), given.column("frame_id"), *map(pa.array, values)], schema=shape))
+        return pa.concat_tables(made)
+
+    shown = _given(pixels.withColumn("depth", F.col("depth").cast("double")), "depth")
+    return pairs.groupBy("frame_id").cogroup(shown.groupBy("frame_id")).applyInArrow(look, ddl)
 
 
 def observed_colors(seen: DataFrame, color_pixels: DataFrame, color_cameras: DataFrame) -> DataFrame:
     """Adds color_obs: the packed colour at the voxel's pixel of the frame's colour camera, or null."""
-    c = F.col
-    own = ("fx", "fy", "cx", "cy", "width", "height", "pose")
-    lens = color_cameras.select("frame_id", *own)
-    facts = FrameFacts.of(color_cameras)
-    joined = seen.join(facts.send(lens), "frame_id", "left")
-    u, v, _ = camera.project(c("x"), c("y"), c("z"), c)
-    both = held(joined, cu=u, cv=v)
-    inside = camera.in_image(c("cu"), c("cv"), c)
-    at = held(both, x0=F.when(inside, F.floor("cu")).cast("int"), y0=F.when(inside, F.floor("cv")).cast("int"))
-    shown = with_tiles(at, color_pixels, color_cameras, facts, "color")
-    return shown.withColumn("color_obs", tap(c("x0"), c("y0"))).drop(*own, "cu", "cv", "x0", "y0", "tile_x", "tile_y", "img")
+    facts, numbers = FrameFacts.of(color_cameras), (*LENS, *_POSE)
+    lenses = _lenses(color_cameras).withColumnsRenamed({n: f"_{n}" for n in numbers})
+    joined = seen.join(facts.send(lenses), "frame_id", "left").select(*seen.columns, *[f"_{n}" for n in numbers])
+    ddl, shape = _shape(*seen.dtypes, ("color_obs", dict(color_pixels.dtypes)["color"]))
+
+    def look(seen, pixels):
+        import numpy as np
+        import pyarrow as pa
+
+        if not seen.num_rows:
+            return shape.empty_table()
+        lens = dict(zip(numbers, _numbers(seen, *[f"_{n}" for n in numbers]), strict=True))
+        u, v, _, inside = _project(*_numbers(seen, "x", "y", "z"), lens)
+        color = pa.nulls(seen.num_rows, shape.field("color_obs").type)
+        if inside.any():
+            image = _image(pixels, "color", lens["width"][inside].max(), lens["height"][inside].max())
+            found = np.zeros(len(u), dtype=np.int64)
+            found[inside] = _tap(image, np.floor(u[inside]).astype(np.int64), np.floor(v[inside]).astype(np.int64))
+            color = pa.array(found, mask=~inside).cast(color.type)
+        return pa.table([*(seen.column(n) for n in shape.names[:-1]), color], schema=shape)
+
+    return joined.groupBy("frame_id").cogroup(_given(color_pixels, "color").groupBy("frame_id")).applyInArrow(look, ddl)
 
 
 def _blend(old: Column, new: Column, w_old: Column, w_obs: Column) -> Column:

@@ -145,6 +145,36 @@ def test_observations_against_every_voxel_and_frame(spark, monkeypatch, cells):
     assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
 
 
+def test_frames_meet_no_block_behind_their_deepest_pixel(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(tsdf, "seeing", lambda *a, of=tsdf.seeing: met.append(of(*a)) or met[-1])
+    blocks = spark.createDataFrame([(x, y, z) for x in range(-2, 2) for y in range(-2, 2) for z in range(6)], KEY)
+    pixels = spark.createDataFrame([(0, u, v, 0.75) for u in range(32) for v in range(24)], "frame_id int, u int, v int, depth double")
+    shot = spark.createDataFrame([(0, 32.0, 32.0, 16.0, 12.0, 32, 24, np.eye(4).reshape(-1).tolist(), 0.5, 2.5)], CAMERA)
+    seen = tsdf.observations(blocks, pixels, shot, G).agg(F.count("*"), F.max("zc")).first()
+    assert seen[0] > 100 and seen[1] < 1.0
+    assert met[0].agg(F.max("bz")).first()[0] == 2  # the edge of a block is half a metre, and a voxel is allowed for rounding
+
+
+def test_observations_of_odd_pixels(spark):
+    """Repeated, negative, infinite, NaN and null depths, pixels outside the image, a frame without pixels and zero as a depth in range."""
+    rnd = np.random.default_rng(5)
+    width, height = 20, 15
+    depth = {0: 1.0 + 0.05 * rnd.random((height, width)), 1: np.zeros((height, width))}
+    for i, odd in enumerate((-1.0, float("inf"), float("nan"), 0.0)):
+        depth[0][3 * i : 3 * i + 2, 4:9] = odd
+    cameras = {f: Camera(20.0, 20.0, 10.0, 7.0, width, height, tuple(np.eye(4).reshape(-1).tolist()), 0.0, 2.0) for f in depth}
+    rows = [(0, u, v, float(depth[0][v, u])) for v in range(height) for u in range(width)]
+    rows += [(0, 12, 2, 0.5), (0, 12, 3, None), (0, width, 0, 1.9), (0, -1, 2, 1.9), (0, 3, height, 1.9), (None, 3, 3, 1.0), (7, 3, 3, 1.0)]
+    table = spark.createDataFrame(rows, "frame_id int, u int, v int, depth double")
+    shots = spark.createDataFrame([(f, k.fx, k.fy, k.cx, k.cy, k.width, k.height, list(k.pose), k.min_depth, k.max_depth) for f, k in cameras.items()], CAMERA)
+    blocks = [(x, y, z) for x in range(-2, 2) for y in range(-2, 2) for z in range(4)]
+    got = {tuple(r)[:5]: (r["sdf"], r["w_obs"]) for r in tsdf.observations(spark.createDataFrame(blocks, KEY), table, shots, G).select("bx", "by", "bz", "local", "frame_id", "sdf", "w_obs").collect()}
+    want = slow_observations(blocks, depth, cameras, G)
+    assert got.keys() == want.keys() and {k[4] for k in want} == {0, 1}
+    assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
+
+
 def test_images_of_every_filter(tmp_path, spark):
     rnd = np.random.default_rng(1)
     for channels, kind in ((1, np.uint16), (3, np.uint8), (4, np.uint8), (2, np.uint8)):
