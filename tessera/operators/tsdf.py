@@ -297,11 +297,12 @@ def _blend(old: Column, new: Column, w_old: Column, w_obs: Column) -> Column:
     return color.pack_linear(*[(x * w_old + y * w_obs) / total for x, y in zip(a, b, strict=True)])
 
 
-def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFrame | None = None) -> DataFrame:
+def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFrame | None = None, since=None) -> DataFrame:
     """(voxel, tsdf, weight, color, changed): observations folded in frame order onto `start`, or onto nothing.
 
     The mean uses the uncapped weight, then the weight is capped, so order matters and frames are sorted. A clear
-    takes a weighted voxel back to nothing. `changed` tells that some step moved a value.
+    takes a weighted voxel back to nothing. `changed` tells that some step moved a value, one of a frame from `since` on
+    if that is given: as a fold of the earlier frames and one of the later frames onto it would tell, in one pass.
     """
     t = g.trunc_dist
     colored = "color_obs" in seen.columns
@@ -321,8 +322,9 @@ def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFra
         w = F.least(total, F.lit(max_weight))
         shade_now = F.when(o["c"].isNull(), a["c"]).when(a["c"] == 0, color.opaque(o["c"])).otherwise(_blend(a["c"], o["c"], a["w"], o["w_obs"])) if colored else a["c"]
         clears = o["clear"] & (a["w"] > 0)
-        fused = F.struct(s.alias("s"), w.alias("w"), shade_now.alias("c"), (a["ch"] | (s != a["s"]) | (w != a["w"]) | (shade_now != a["c"])).alias("ch"))
-        blank = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("ch"))
+        counts = F.lit(True) if since is None else o["frame_id"] >= F.lit(since)
+        fused = F.struct(s.alias("s"), w.alias("w"), shade_now.alias("c"), (a["ch"] | counts & ((s != a["s"]) | (w != a["w"]) | (shade_now != a["c"]))).alias("ch"))
+        blank = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("c"), (a["ch"] | counts).alias("ch"))
         return F.when(clears, blank).when(o["clear"], a).otherwise(fused)
 
     state = per.select(*VOXEL, F.aggregate("obs", begin, step).alias("r"))

@@ -217,10 +217,8 @@ def tsdf_fuse_color(spark, d):
 
 
 def _last_frame(spark, d):
-    """The field before the last frame, and what that frame changes."""
-    seen, last = _seen(spark, d, "dynamic"), last_frame(spark, d)
-    before = tsdf.fold(seen.where(c("frame_id") < last), G, 5.0)
-    return tsdf.fold(seen.where(c("frame_id") == last), G, 5.0, before)
+    """The field after the last frame, and what that frame changes."""
+    return tsdf.fold(_seen(spark, d, "dynamic"), G, 5.0, since=last_frame(spark, d))
 
 
 @query

@@ -175,6 +175,15 @@ def test_observations_of_odd_pixels(spark):
     assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
 
 
+def test_changes_since_a_frame_are_told_in_one_fold(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(0, 0, 0, v, f, float(rnd.choice([-0.125, 0.0, 0.25])), float(rnd.choice([0.5, 4.0])), bool(rnd.random() < 0.3)) for v in range(60) for f in range(5) if rnd.random() < 0.6]
+    seen = spark.createDataFrame(rows, KEY + ", local int, frame_id int, sdf double, w_obs double, clear boolean")
+    want = tsdf.fold(seen.where("frame_id >= 3"), G, start=tsdf.fold(seen.where("frame_id < 3"), G))
+    got = sorted(tuple(r) for r in tsdf.fold(seen, G, since=3).collect())
+    assert got == sorted(tuple(r) for r in want.collect()) and {r[-1] for r in got} == {False, True}
+
+
 def test_images_of_every_filter(tmp_path, spark):
     rnd = np.random.default_rng(1)
     for channels, kind in ((1, np.uint16), (3, np.uint8), (4, np.uint8), (2, np.uint8)):
