@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import camera, color, coords
-from tessera.operators.volume import KEY, SMALL_ROWS, Snapshot, held
+from tessera.operators.volume import KEY, SMALL_ROWS, Snapshot, held, said
 from tessera.params import GridParams, ParameterError, is_canonical
 
 VOXEL = (*KEY, "local")
@@ -197,8 +197,8 @@ def _depth_at(image, u, v, width, height, t: float):
 
 
 def _given(pixels: DataFrame, value: str) -> DataFrame:
-    """Pixels by frame, without those that say nothing."""
-    return pixels.select("frame_id", "u", "v", value).dropna(subset=["u", "v", value])
+    """Pixels without those that say nothing."""
+    return said(pixels.select("frame_id", "u", "v", value), value)
 
 
 def _shape(*fields: tuple[str, str]) -> tuple[str, object]:
@@ -225,7 +225,8 @@ def observations(blocks: DataFrame, pixels: DataFrame, cameras: DataFrame, g: Gr
     if mode not in MODES:
         raise ParameterError("mode is classic or dynamic")
     t, facts, numbers = g.trunc_dist, FrameFacts.of(cameras), (*LENS, "min_depth", "max_depth", *_POSE)
-    pairs = seeing(blocks, deepest(pixels, cameras, facts), g, facts).join(facts.send(_lenses(cameras, "min_depth", "max_depth")), "frame_id")
+    shown = _given(pixels.withColumn("depth", F.col("depth").cast("double")), "depth")
+    pairs = seeing(blocks, deepest(shown, cameras, facts), g, facts).join(facts.send(_lenses(cameras, "min_depth", "max_depth")), "frame_id")
     kinds = dict(pairs.dtypes)
     doubles = ("x", "y", "z", "zc", "depth", "sdf", "w_obs")
     ddl, shape = _shape(*[(k, kinds[k]) for k in KEY], ("local", "int"), ("frame_id", kinds["frame_id"]), *[(n, "double") for n in doubles], ("clear", "boolean"))
@@ -260,7 +261,6 @@ def observations(blocks: DataFrame, pixels: DataFrame, cameras: DataFrame, g: Gr
             made.append(pa.table([*(given.column(k) for k in KEY), pa.array(voxel.astype(np.int32)), given.column("frame_id"), *map(pa.array, values)], schema=shape))
         return pa.concat_tables(made)
 
-    shown = _given(pixels.withColumn("depth", F.col("depth").cast("double")), "depth")
     return pairs.groupBy("frame_id").cogroup(shown.groupBy("frame_id")).applyInArrow(look, ddl)
 
 
@@ -290,11 +290,17 @@ def observed_colors(seen: DataFrame, color_pixels: DataFrame, color_cameras: Dat
     return joined.groupBy("frame_id").cogroup(_given(color_pixels, "color").groupBy("frame_id")).applyInArrow(look, ddl)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with the value found once. Inside a fold nothing else is shared: an expression is found anew wherever it is named."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _blend(old: Column, new: Column, w_old: Column, w_obs: Column) -> Column:
     """Mean of two packed colours in linear light, encoded again at once."""
     a, b = color.unpack_linear(old), color.unpack_linear(new)
     total = F.greatest(w_old + w_obs, F.lit(1e-6))
-    return color.pack_linear(*[(x * w_old + y * w_obs) / total for x, y in zip(a, b, strict=True)])
+    mixed = F.array(*[(x * w_old + y * w_obs) / total for x, y in zip(a, b, strict=True)])
+    return _let(F.transform(mixed, color.to_byte), lambda v: color.pack_bytes(*[F.get(v, F.lit(i)) for i in range(3)]))
 
 
 def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFrame | None = None, since=None) -> DataFrame:
@@ -323,7 +329,8 @@ def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFra
         shade_now = F.when(o["c"].isNull(), a["c"]).when(a["c"] == 0, color.opaque(o["c"])).otherwise(_blend(a["c"], o["c"], a["w"], o["w_obs"])) if colored else a["c"]
         clears = o["clear"] & (a["w"] > 0)
         counts = F.lit(True) if since is None else o["frame_id"] >= F.lit(since)
-        fused = F.struct(s.alias("s"), w.alias("w"), shade_now.alias("c"), (a["ch"] | counts & ((s != a["s"]) | (w != a["w"]) | (shade_now != a["c"]))).alias("ch"))
+        moved = lambda n: a["ch"] | counts & ((n["s"] != a["s"]) | (n["w"] != a["w"]) | (n["c"] != a["c"]))
+        fused = _let(F.struct(s.alias("s"), w.alias("w"), shade_now.alias("c")), lambda n: F.struct(n["s"].alias("s"), n["w"].alias("w"), n["c"].alias("c"), moved(n).alias("ch")))
         blank = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("c"), (a["ch"] | counts).alias("ch"))
         return F.when(clears, blank).when(o["clear"], a).otherwise(fused)
 

@@ -91,11 +91,16 @@ def surface_points(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
     c = F.col
     seen = pixels.join(F.broadcast(cameras) if is_small(cameras) else cameras, "frame_id").where(~F.isnan("depth") & (c("depth") >= c("min_depth")) & (c("depth") <= c("max_depth")))
     x, y, z = camera.unproject(c("u").cast("double"), c("v").cast("double"), c("depth"), c)
-    return seen.select("frame_id", "u", "v", x.alias("x"), y.alias("y"), z.alias("z"))
+    return held(seen, x=x, y=y, z=z).select("frame_id", "u", "v", "x", "y", "z")
+
+
+def said(pixels: DataFrame, value: str) -> DataFrame:
+    """Pixels with a frame, a place and a value. What reads a pixel table asks alike, so plans make the table once."""
+    return pixels.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in ("frame_id", "u", "v", value)]))
 
 
 def allocate_from_depth(pixels: DataFrame, cameras: DataFrame, g: GridParams) -> DataFrame:
-    return allocate_from_points(surface_points(pixels, cameras), g)
+    return allocate_from_points(surface_points(said(pixels, "depth"), cameras), g)
 
 
 def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:

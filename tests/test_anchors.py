@@ -184,6 +184,30 @@ def test_changes_since_a_frame_are_told_in_one_fold(spark):
     assert got == sorted(tuple(r) for r in want.collect()) and {r[-1] for r in got} == {False, True}
 
 
+def test_a_query_makes_its_pixels_once(spark):
+    from tessera.plans import catalog
+
+    plan = catalog.queries()["tsdf_observation"](spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len([line for line in text.splitlines() if "FileScan" in line and "l_quantity" in line]) == 1
+
+
+def test_a_fold_finds_a_blend_once(spark):
+    """Two shades in, three channels each, and one out: nine powers an observation, which a fold finds as often as they are named."""
+    seen = spark.createDataFrame([(0, 0, 0, 0, f, 0.1, 1.0, False, c) for f, c in enumerate((0x3264C8, 20))], KEY + ", local int, frame_id int, sdf double, w_obs double, clear boolean, color_obs long")
+    fused = tsdf.fold(seen, G)
+    assert fused._jdf.queryExecution().optimizedPlan().toString().lower().count("power(") <= 9
+    x, y = (np.array([c >> 8 * i & 255 for i in range(3)]) / 255 for c in (0x3264C8, 20))
+    line = lambda e: np.where(e <= 0.04045, e / 12.92, ((e + 0.055) / 1.055) ** 2.4)
+    mean = (line(x) + line(y)) / 2
+    code = np.floor(np.where(mean <= 0.0031308, mean * 12.92, 1.055 * mean ** (1 / 2.4) - 0.055) * 255 + 0.5).astype(int)
+    assert fused.first()["color"] == 0xFF000000 | int(code[0]) | int(code[1]) << 8 | int(code[2]) << 16
+
+
 def test_images_of_every_filter(tmp_path, spark):
     rnd = np.random.default_rng(1)
     for channels, kind in ((1, np.uint16), (3, np.uint8), (4, np.uint8), (2, np.uint8)):
