@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,30 +45,36 @@ def units(text: str) -> dict[str, int]:
     """Units of a text with their counts: folded words, and whole runs of spelled-out single letters, which keep a
     space between the letters. Very long ones come by pieces."""
     out: dict[str, int] = {}
-    run: list[str] = []
     raw = text.split()
     for w, n in Counter(raw).items():
-        w = letters(w)
-        if len(w) >= ORDER:
+        w = w.lower() if w.isalnum() else letters(w)
+        if ORDER <= len(w) <= LONGEST:
+            out[w] = out.get(w, 0) + n
+        elif len(w) > LONGEST:
             for piece in pieces(w):
                 out[piece] = out.get(piece, 0) + n
-    for w in [*raw, "stop"]:
-        if len(w) <= 2 and len(w := letters(w)) == 1:
+    run: list[str] = []
+    last = -1
+
+    def end():
+        if len(run) >= ORDER:
+            for piece in map(" ".join, pieces("".join(run))):
+                out[piece] = out.get(piece, 0) + 1
+        run.clear()
+
+    for i in [i for i, w in enumerate(raw) if len(w) <= 2]:
+        if len(w := letters(raw[i])) == 1:
+            if i != last + 1:
+                end()
             run.append(w)
-        elif run:
-            if len(run) >= ORDER:
-                for piece in map(" ".join, pieces("".join(run))):
-                    out[piece] = out.get(piece, 0) + 1
-            run = []
+            last = i
+    end()
     return out
 
 
 def _codes(strings: list[str], width: int) -> np.ndarray:
-    out = np.zeros((len(strings), width), dtype=np.uint32)
-    for i, s in enumerate(strings):
-        raw = np.frombuffer(s[:width].encode("utf-32-le"), dtype=np.uint32)
-        out[i, : len(raw)] = raw
-    return out
+    whole = "".join([w[:width].ljust(width, "\0") for w in strings])
+    return np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32).reshape(len(strings), width)
 
 
 def kernel(words: list[str], marks: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -122,44 +129,86 @@ def _raw(a: np.ndarray, tables, order: int, decay: float) -> np.ndarray:
 
 
 def _selves(strings: list[str], order: int, decay: float) -> np.ndarray:
-    """Kernel of each string with itself, a string at a time as its own landmark axis."""
+    """Kernel of each string with itself, for all strings of one length at a time, some hundreds together."""
     out = np.zeros(len(strings), dtype=np.float32)
     groups = {}
     for i, s in enumerate(strings):
         groups.setdefault(len(s), []).append(i)
-    d2 = np.float32(decay * decay)
     for length, at in groups.items():
         if length < order:
             continue
-        x = _codes([strings[i] for i in at], length)
-        same = (x[:, :, None] == x[:, None, :]).astype(np.float32)
-        prime = np.ones((len(at), length + 1, length + 1), dtype=np.float32)
-        for _ in range(order - 1):
-            nxt = np.zeros_like(prime)
-            for i in range(1, length + 1):
-                run = np.zeros(len(at), dtype=np.float32)
-                for j in range(1, length + 1):
-                    run = decay * run + d2 * same[:, i - 1, j - 1] * prime[:, i - 1, j - 1]
-                    nxt[:, i, j] = decay * nxt[:, i - 1, j] + run
-            prime = nxt
-        out[at] = (d2 * same * prime[:, :length, :length]).sum(axis=(1, 2))
+        step = np.arange(length)[:, None] - np.arange(length)[None, :] - 1
+        back = np.where(step >= 0, decay ** np.maximum(step, 0), 0).astype(np.float32).T
+        along = lambda x, back=back, length=length: (x.reshape(-1, length) @ back).reshape(-1, length, length)
+        for some in (at[i : i + 512] for i in range(0, len(at), 512)):
+            x = _codes([strings[i] for i in some], length)
+            same = (x[:, :, None] == x[:, None, :]) * np.float32(decay * decay)
+            met = same
+            for _ in range(order - 1):
+                met = same * along(along(met).transpose(0, 2, 1))  # symmetric, so both sides are taken alike
+            out[some] = met.sum(axis=(1, 2))
     return out
 
 
+#: Entries up to which a weight for every three letters is kept as one table (4 bytes each).
+DENSE = 1 << 22
+
+
+class _Linear:
+    """The sum of weighted, normalised kernels with all landmarks: the kernel is a sum over common subsequences, so
+    the landmarks' weights are added up for every subsequence once, and a word only adds up those of its own."""
+
+    def __init__(self, marks: list[str], weights: np.ndarray, order: int = ORDER, decay: float = DECAY):
+        self.marks, self.weights, self.decay, self.table = marks, weights, decay, None
+        alphabet = sorted(set("".join(marks)))
+        n = len(alphabet) + 1  # the last stands for all other letters
+        if order != 3 or n**3 > DENSE:
+            return
+        self.n, self.place = n, np.full(0x110000, n - 1, dtype=np.int32)
+        self.place[[ord(c) for c in alphabet]] = np.arange(n - 1)
+        table = np.zeros(n**3)
+        for m, w in zip(marks, weights / np.maximum(np.sqrt(_selves(marks, order, decay)), 1e-9), strict=True):
+            c = self.place[_codes([m], len(m))[0]].tolist()
+            for i, j, k in combinations(range(len(m)), 3):
+                table[(c[i] * n + c[j]) * n + c[k]] += w * decay ** (k - i + 1)
+        self.table = table.astype(np.float32)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if self.table is None:
+            return kernel(words, self.marks) @ self.weights
+        out = np.zeros(len(words), dtype=np.float32)
+        by_length = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for length, at in by_length.items():
+            for some in (at[i : i + 4096] for i in range(0, len(at), 4096)):
+                c = np.ascontiguousarray(self.place[_codes([words[i] for i in some], length)].T)
+                total = np.zeros(len(some), dtype=np.float32)
+                for i, j in combinations(range(length), 2):
+                    two = (c[i] * self.n + c[j]) * self.n
+                    for k in range(j + 1, length):
+                        total += self.table.take(two + c[k]) * np.float32(self.decay ** (k - i + 1))
+                out[some] = total
+        return out / np.maximum(np.sqrt(_selves(words, ORDER, self.decay)), 1e-9)
+
+
 class Model:
     """Landmarks with one weight each (the Nyström factor folded in), and a logistic judge of a document's margins."""
 
     def __init__(self, marks: list[str], weights: np.ndarray, bias: float, judge: np.ndarray | None = None):
         self.marks, self.weights, self.bias = marks, weights.astype(np.float32), bias
         self.judge = np.zeros(len(evidence([], [])) + 1) if judge is None else judge
+        self._linear: _Linear | None = None  # made where words are judged
 
     def margins(self, words: list[str]) -> np.ndarray:
         if not self.marks or not words:
             return np.full(len(words), -1.0, dtype=np.float32)
-        parts = [stretches(w) for w in words]
-        every = list(dict.fromkeys(s for p in parts for s in p))
-        known = dict(zip(every, kernel(every, self.marks) @ self.weights + np.float32(self.bias), strict=True))
-        return np.array([max(known[s] for s in p) for p in parts], dtype=np.float32)
+        if self._linear is None:
+            self._linear = _Linear(self.marks, self.weights)
+        parts = {w: stretches(w) for w in words if " " in w}
+        every = list(dict.fromkeys([*(w for w in words if w not in parts), *(s for p in parts.values() for s in p)]))
+        known = dict(zip(every, (self._linear(every) + np.float32(self.bias)).tolist(), strict=True))
+        return np.array([max(known[s] for s in parts[w]) if w in parts else known[w] for w in words], dtype=np.float32)
 
     def probability(self, margins: list[float], counts: list[int]) -> float:
         z = float(self.judge[:-1] @ evidence(margins, counts) + self.judge[-1])

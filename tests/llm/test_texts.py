@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -189,6 +190,21 @@ def test_string_kernel():
     assert np.abs(toxicity.kernel(left, right) - want).max() < 1e-5
 
 
+def test_words_are_judged_by_their_own_subsequences(monkeypatch):
+    """The landmarks' weights are added up by subsequence once, so no word meets a landmark; alphabets too large for that go by the kernel."""
+    rnd = random.Random(4)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 25)))
+    marks, words = [word("abcdé") for _ in range(9)] + ["ab"], [word("abcdéfg日") for _ in range(300)] + [""]
+    weights = np.array([rnd.uniform(-2, 2) for _ in marks], dtype=np.float32)
+    want = toxicity.kernel(words, marks) @ weights + np.float32(0.25)
+    model = toxicity.Model(marks, weights, 0.25)
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "kernel", None)
+        assert np.abs(model.margins(words) - want).max() < 1e-4
+    monkeypatch.setattr(toxicity, "DENSE", 10)
+    assert np.abs(toxicity.Model(marks, weights, 0.25).margins(words) - want).max() < 1e-4
+
+
 def test_toxicity(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels.where("doc_id % 5 <> 0"), sample=300)
