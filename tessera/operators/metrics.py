@@ -59,5 +59,10 @@ def fuse_report(blocks: DataFrame, dirty: DataFrame, remesh: DataFrame, frames:
     """One row: dirty and re-meshed shares of the active blocks in percent, dilation and frames a second."""
     key = ["bx", "by", "bz"]
     marked = blocks.select(*key).distinct().join(dirty.select(*key).distinct().withColumn("d", F.lit(1)), key, "left").join(remesh.select(*key).distinct().withColumn("m", F.lit(1)), key, "left")
+    return share_report(marked, frames, seconds)
+
+
+def share_report(marked: DataFrame, frames: int, seconds: float) -> DataFrame:
+    """The report of distinct active blocks with d where they are dirty and m where they are meshed again, both null elsewhere."""
     n, d, m = F.count("*"), F.count("d"), F.count("m")
     return marked.agg(n.alias("active"), d.alias("dirty"), m.alias("remesh"), (100.0 * d / F.greatest(n, F.lit(1))).alias("dirty_pct"), (100.0 * m / F.greatest(n, F.lit(1))).alias("remesh_pct"), (m / F.greatest(d, F.lit(1)).cast("double")).alias("dilation"), F.lit(frames / seconds if seconds > 0 else 0.0).alias("fps"))

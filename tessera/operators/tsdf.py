@@ -422,9 +422,20 @@ def dirty_blocks(fused: DataFrame) -> DataFrame:
     return fused.where("changed").select(*KEY).distinct()
 
 
+def _readers(dirty: DataFrame) -> DataFrame:
+    """The blocks up to one below a dirty block on each axis, once for each of them, and whether it is the block itself (_own)."""
+    steps, out = F.array(F.lit(0), F.lit(-1)), dirty.select(*KEY, F.lit(True).alias("_own"))
+    for k in KEY:
+        out = out.withColumn("_s", F.explode(steps)).withColumn(k, (F.col(k) + F.col("_s")).cast("int")).withColumn("_own", F.col("_own") & (F.col("_s") == 0)).drop("_s")
+    return out
+
+
 def remesh_blocks(blocks: DataFrame, dirty: DataFrame) -> DataFrame:
     """Active blocks whose cells can read a dirty block: those up to one block below it on each axis."""
-    steps, out = F.array(F.lit(0), F.lit(-1)), dirty.select(*KEY)
-    for k in KEY:
-        out = out.withColumn("_s", F.explode(steps)).withColumn(k, (F.col(k) + F.col("_s")).cast("int")).drop("_s")
-    return blocks.join(out.distinct(), list(KEY), "left_semi").select(*KEY)
+    return blocks.join(_readers(dirty).select(*KEY).distinct(), list(KEY), "left_semi").select(*KEY)
+
+
+def marked_blocks(blocks: DataFrame, dirty: DataFrame) -> DataFrame:
+    """The distinct active blocks with d = 1 where they are dirty and m = 1 where remesh_blocks has them, else null; `dirty` is read once, so what it is made from runs once."""
+    marks = _readers(dirty).groupBy(*KEY).agg(F.max(F.when(F.col("_own"), F.lit(1))).alias("d"), F.lit(1).alias("m"))
+    return blocks.select(*KEY).distinct().join(marks, list(KEY), "left")

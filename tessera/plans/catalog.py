@@ -392,8 +392,7 @@ def stage_totals(spark, d):
 
 @query
 def fuse_report(spark, d):
-    dirty, blocks = dirty_blocks(spark, d), _blocks(spark, d)
-    out = metrics.fuse_report(blocks, dirty, tsdf.remesh_blocks(blocks, dirty), 4, 2.0)
+    out = metrics.share_report(tsdf.marked_blocks(_blocks(spark, d), dirty_blocks(spark, d)), 4, 2.0)
     return out.select("active", "dirty", "remesh", *[r6(c(n)).alias(n) for n in ("dirty_pct", "remesh_pct", "dilation", "fps")])
 
 

@@ -1,8 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import mesh, tsdf, volume
+from tessera.operators import mesh, metrics, tsdf, volume
 from tessera.params import Camera, GridParams, ParameterError
 from tessera.sources import scene
 from tests.test_core import CAMERA, camera_row, flat, sphere
@@ -196,6 +198,39 @@ def test_a_query_makes_its_pixels_once(spark):
     assert len([line for line in text.splitlines() if "FileScan" in line and "l_quantity" in line]) == 1
 
 
+def test_marks_of_one_pass_are_those_of_two(spark):
+    blocks = spark.createDataFrame([(x, y, z) for x in range(-2, 3) for y in range(3) for z in range(2)] * 2, KEY)
+    dirty = spark.createDataFrame([(0, 1, 1), (1, 1, 1), (2, 0, 0), (2, 0, 0), (9, 9, 9), (3, 3, 2)], KEY)
+    want = metrics.fuse_report(blocks, dirty, tsdf.remesh_blocks(blocks, dirty), 4, 2.0).first()
+    assert metrics.share_report(tsdf.marked_blocks(blocks, dirty), 4, 2.0).first() == want and (want["active"], want["dirty"], want["remesh"]) == (30, 3, 14)
+    none = metrics.share_report(tsdf.marked_blocks(blocks, dirty.limit(0)), 4, 2.0).first()
+    assert (none["active"], none["dirty"], none["remesh"], none["dilation"]) == (30, 0, 0, 0.0)
+
+
+@pytest.mark.parametrize("name", ["fuse_report"])
+def test_a_query_looks_at_its_voxels_once(spark, monkeypatch, tmp_path, name):
+    """The rows that the observation step makes are counted where they are made."""
+    from tessera.plans import catalog
+
+    told, of = str(tmp_path / "rows"), tsdf.observations
+
+    def tell(batches):
+        for b in batches:
+            with open(told, "ab") as f:
+                f.write(b"x" * b.num_rows)
+            yield b
+
+    def observed(*args):
+        rows = of(*args)
+        asked.append(rows)
+        return rows.mapInArrow(tell, rows.schema)
+
+    asked = []
+    monkeypatch.setattr(tsdf, "observations", observed)
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.01").collect()
+    assert len(asked) == 1 and os.path.getsize(told) == asked[0].count() > 0
+
+
 def test_a_fold_finds_a_blend_once(spark):
     """Two shades in, three channels each, and one out: nine powers an observation, which a fold finds as often as they are named."""
     seen = spark.createDataFrame([(0, 0, 0, 0, f, 0.1, 1.0, False, c) for f, c in enumerate((0x3264C8, 20))], KEY + ", local int, frame_id int, sdf double, w_obs double, clear boolean, color_obs long")
