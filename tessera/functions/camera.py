@@ -27,7 +27,11 @@ def unproject(u: Column, v: Column, depth: Column, c) -> list[Column]:
 
 def project(x: Column, y: Column, z: Column, c) -> tuple[Column, Column, Column]:
     """(u, v, zc); u and v are null unless the point is in front."""
-    xc, yc, zc = to_camera(x, y, z, c("pose"))
+    return on_image(*to_camera(x, y, z, c("pose")), c)
+
+
+def on_image(xc: Column, yc: Column, zc: Column, c) -> tuple[Column, Column, Column]:
+    """project() of a place in the camera's own axes. It names each of them several times, so long expressions are held before."""
     front = (zc > 0) & ~F.isnan(zc)
     return F.when(front, c("fx") * (xc / F.when(front, zc)) + c("cx")), F.when(front, c("fy") * (yc / F.when(front, zc)) + c("cy")), zc
 

@@ -38,8 +38,9 @@ def texture(mesh: DataFrame, pixels: DataFrame, cameras: DataFrame, frame_id: in
     keep = [c for c in mesh.columns if c not in ("uv_u", "uv_v")]
     joined = mesh.select(*keep).withColumn("frame_id", F.lit(frame_id).cast(dict(cameras.dtypes)["frame_id"])).join(facts.send(frame), "frame_id")
     c = F.col
-    u, v, zc = camera.project(c("px"), c("py"), c("pz"), lambda n: c(f"lens_{n}" if n in own else n))
-    placed = held(joined, _u=u, _v=v, _z=zc)
+    x, y, z = camera.to_camera(c("px"), c("py"), c("pz"), c("pose"))
+    u, v, zc = camera.on_image(c("_x"), c("_y"), c("_z"), lambda n: c(f"lens_{n}" if n in own else n))
+    placed = held(held(joined, _x=x, _y=y, _z=z), _u=u, _v=v)
     inset = (c("_u") >= 1) & (c("_u") < c("width") - 1) & (c("_v") >= 1) & (c("_v") < c("height") - 1)
     seen = with_surface_depth(placed, pixels.where(F.col("frame_id") == frame_id), chosen, facts, threshold)
     visible = F.coalesce(inset & (c("_d") >= c("min_depth")) & (c("_d") <= c("max_depth")) & (F.abs(c("_d") - c("_z")) <= threshold), F.lit(False))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import mesh, metrics, tsdf, volume
+from tessera.operators import mesh, metrics, texture, tsdf, volume
 from tessera.params import Camera, GridParams, ParameterError
 from tessera.sources import scene
 from tests.test_core import CAMERA, camera_row, flat, sphere
@@ -198,6 +198,22 @@ def test_a_query_makes_its_pixels_once(spark):
     assert len([line for line in text.splitlines() if "FileScan" in line and "l_quantity" in line]) == 1
 
 
+def test_texturing_is_compiled(spark):
+    """The JVM leaves methods of over 8000 bytes uncompiled."""
+    mesh_of = spark.createDataFrame([(0.0, 0.0, 1.0, -1.0, -1.0)] * 9, "px double, py double, pz double, uv_u double, uv_v double").repartition(2)
+    shown = texture.texture(mesh_of, flat(spark, 0, 4, 4, 1.0), camera_row(spark, 0, Camera(10, 10, 2, 2, 4, 4)), 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = shown.groupBy("visible", "uv_u").count()._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    made = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan).iterator()
+    sizes = []
+    while made.hasNext():
+        sizes.append(made.next()._3().maxMethodCodeSize())
+    assert sizes and max(sizes) < 8000
+
+
 def test_marks_of_one_pass_are_those_of_two(spark):
     blocks = spark.createDataFrame([(x, y, z) for x in range(-2, 3) for y in range(3) for z in range(2)] * 2, KEY)
     dirty = spark.createDataFrame([(0, 1, 1), (1, 1, 1), (2, 0, 0), (2, 0, 0), (9, 9, 9), (3, 3, 2)], KEY)
