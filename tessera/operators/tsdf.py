@@ -303,12 +303,13 @@ def _blend(old: Column, new: Column, w_old: Column, w_obs: Column) -> Column:
     return _let(F.transform(mixed, color.to_byte), lambda v: color.pack_bytes(*[F.get(v, F.lit(i)) for i in range(3)]))
 
 
-def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFrame | None = None, since=None) -> DataFrame:
+def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFrame | None = None, since=None, keep_before: bool = False) -> DataFrame:
     """(voxel, tsdf, weight, color, changed): observations folded in frame order onto `start`, or onto nothing.
 
     The mean uses the uncapped weight, then the weight is capped, so order matters and frames are sorted. A clear
     takes a weighted voxel back to nothing. `changed` tells that some step moved a value, one of a frame from `since` on
     if that is given: as a fold of the earlier frames and one of the later frames onto it would tell, in one pass.
+    With `keep_before`, column `before` has tsdf, weight and color after the frames before `since`, of weight 0 where there was none.
     """
     t = g.trunc_dist
     colored = "color_obs" in seen.columns
@@ -334,8 +335,13 @@ def fold(seen: DataFrame, g: GridParams, max_weight: float = 5.0, start: DataFra
         blank = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("c"), (a["ch"] | counts).alias("ch"))
         return F.when(clears, blank).when(o["clear"], a).otherwise(fused)
 
-    state = per.select(*VOXEL, F.aggregate("obs", begin, step).alias("r"))
-    return state.select(*VOXEL, F.col("r.s").alias("tsdf"), F.col("r.w").alias("weight"), F.col("r.c").alias("color"), F.col("r.ch").alias("changed"))
+    names, before = (("s", "tsdf"), ("w", "weight"), ("c", "color")), []
+    if keep_before:
+        late = lambda o: F.coalesce(o["frame_id"] >= F.lit(since), F.lit(False))
+        per = per.select(*VOXEL, F.filter("obs", late).alias("obs"), F.aggregate(F.filter("obs", lambda o: ~late(o)), begin, step).alias("b"))
+        begin, before = F.col("b"), [F.struct(*[F.col(f"b.{k}").alias(n) for k, n in names]).alias("before")]
+    state = per.select(*VOXEL, *before, F.aggregate("obs", begin, step).alias("r"))
+    return state.select(*VOXEL, *[F.col(f"r.{k}").alias(n) for k, n in names], F.col("r.ch").alias("changed"), *[c for c in state.columns if c == "before"])
 
 
 def check_frames(cameras: DataFrame) -> None:

@@ -216,9 +216,9 @@ def tsdf_fuse_color(spark, d):
     return _colored(spark, d).select(*tsdf.VOXEL, r6(c("tsdf")).alias("tsdf"), r6(c("weight")).alias("weight"), "color")
 
 
-def _last_frame(spark, d):
+def _last_frame(spark, d, keep_before=False):
     """The field after the last frame, and what that frame changes."""
-    return tsdf.fold(_seen(spark, d, "dynamic"), G, 5.0, since=last_frame(spark, d))
+    return tsdf.fold(_seen(spark, d, "dynamic"), G, 5.0, since=last_frame(spark, d), keep_before=keep_before)
 
 
 @query
@@ -293,8 +293,10 @@ def mc_culled(spark, d):
 
 @query
 def mc_incremental(spark, d):
-    before = tsdf.fold(_seen(spark, d, "dynamic").where(c("frame_id") < last_frame(spark, d)), G, 5.0)
-    after = _last_frame(spark, d)
+    """Both fields come from one fold, kept because three steps read it; its pixels are kept too, as the blocks read them beside it."""
+    pixels(spark, d).persist()
+    after = _last_frame(spark, d, keep_before=True).persist()
+    before = after.select(*tsdf.VOXEL, "before.*")
     again = tsdf.remesh_blocks(_blocks(spark, d), tsdf.dirty_blocks(after))
     return _soup(mesh.extract_incremental(mesh.extract(before, G), after, again, G))
 

@@ -184,6 +184,10 @@ def test_changes_since_a_frame_are_told_in_one_fold(spark):
     want = tsdf.fold(seen.where("frame_id >= 3"), G, start=tsdf.fold(seen.where("frame_id < 3"), G))
     got = sorted(tuple(r) for r in tsdf.fold(seen, G, since=3).collect())
     assert got == sorted(tuple(r) for r in want.collect()) and {r[-1] for r in got} == {False, True}
+    both = tsdf.fold(seen, G, since=3, keep_before=True)
+    assert sorted(tuple(r) for r in both.drop("before").collect()) == got
+    was = both.select(*tsdf.VOXEL, "before.*").where("weight > 0")
+    assert sorted(tuple(r) for r in was.collect()) == sorted(tuple(r) for r in tsdf.fold(seen.where("frame_id < 3"), G).drop("changed").where("weight > 0").collect())
 
 
 def test_a_query_makes_its_pixels_once(spark):
@@ -223,12 +227,12 @@ def test_marks_of_one_pass_are_those_of_two(spark):
     assert (none["active"], none["dirty"], none["remesh"], none["dilation"]) == (30, 0, 0, 0.0)
 
 
-@pytest.mark.parametrize("name", ["fuse_report"])
-def test_a_query_looks_at_its_voxels_once(spark, monkeypatch, tmp_path, name):
-    """The rows that the observation step makes are counted where they are made."""
+@pytest.mark.parametrize(("name", "step"), [("fuse_report", "observations"), ("mc_incremental", "observations")])
+def test_a_query_looks_at_its_voxels_once(spark, monkeypatch, tmp_path, name, step):
+    """The rows that the step makes are counted where they are made."""
     from tessera.plans import catalog
 
-    told, of = str(tmp_path / "rows"), tsdf.observations
+    told, of = str(tmp_path / "rows"), getattr(tsdf, step)
 
     def tell(batches):
         for b in batches:
@@ -242,7 +246,7 @@ def test_a_query_looks_at_its_voxels_once(spark, monkeypatch, tmp_path, name):
         return rows.mapInArrow(tell, rows.schema)
 
     asked = []
-    monkeypatch.setattr(tsdf, "observations", observed)
+    monkeypatch.setattr(tsdf, step, observed)
     assert catalog.queries()[name](spark, "/root/testdata/sf0.01").collect()
     assert len(asked) == 1 and os.path.getsize(told) == asked[0].count() > 0
 
