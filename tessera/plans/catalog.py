@@ -308,7 +308,8 @@ def mc_block_spans(spark, d):
 
 @query
 def mc_shared_vertices(spark, d):
-    verts, _ = mesh.shared(_cells(spark, d), G)
+    """The cells are kept, since sharing reads them twice: as they are and as the owners of edges."""
+    verts, _ = mesh.shared(_cells(spark, d).persist(), G)
     return verts.select("vx", "vy", "vz", "axis", "own_t", "own_k", *[r6(c(n)).alias(n) for n in ("px", "py", "pz", "nx", "ny", "nz")])
 
 

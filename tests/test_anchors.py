@@ -227,7 +227,7 @@ def test_marks_of_one_pass_are_those_of_two(spark):
     assert (none["active"], none["dirty"], none["remesh"], none["dilation"]) == (30, 0, 0, 0.0)
 
 
-@pytest.mark.parametrize(("name", "step"), [("fuse_report", "observations"), ("mc_incremental", "observations")])
+@pytest.mark.parametrize(("name", "step"), [("fuse_report", "observations"), ("mc_incremental", "observations"), ("mc_shared_vertices", "observed_colors")])
 def test_a_query_looks_at_its_voxels_once(spark, monkeypatch, tmp_path, name, step):
     """The rows that the step makes are counted where they are made."""
     from tessera.plans import catalog
